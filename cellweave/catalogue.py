@@ -1,0 +1,8 @@
+"""Registered queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
