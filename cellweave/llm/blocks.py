@@ -190,7 +190,7 @@ def cut(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> I
     row, n = 0, batch.num_rows
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
-        stop = min(stop, n, row + 4096)
+        stop = min(stop, n, row + 16384)
         yield Block(batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
         row = stop
 

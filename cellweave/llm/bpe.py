@@ -15,9 +15,9 @@ Cases: null texts count as empty; an empty text has no ids; long texts are handl
 from __future__ import annotations
 
 import json
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 from .blocks import cut
 
 #: Distinct pre-tokens, and pairs of tokens, that a worker remembers from block to block.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 REMEMBERED_PAIRS = 1_000_000
+#: Bytes of text whose distinct pre-tokens share a trie.
+BLOCK = 6 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -62,7 +64,11 @@ class ByteBPE:
         self.rank = {(self.ids[spell(a)], self.ids[spell(b)]): (r, self.ids[spell(a + b)]) for r, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.ids))
         self.whole = {b: i for b, i in self.ids.items() if self.merge(b) == [i]}
-        self.apart: dict[int, bool] = {}
+        self.apart: list[dict[int, bool]] = [{} for _ in range(max(self.bytes) + 1)]
+        self._pairs = 0
+        self._length = np.array([len(self.bytes.get(i, b"")) for i in range(len(self.apart))])
+        self._place = np.cumsum(self._length) - self._length
+        self._spelled = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(self.apart))), np.uint8)
         self.known: dict[str, tuple[int, ...]] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self.lengths: dict[str, int] = {}
@@ -132,38 +138,40 @@ class ByteBPE:
         return ids
 
     def stays_apart(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        if (known := self.apart.get(key)) is None:
-            if len(self.apart) >= REMEMBERED_PAIRS:
-                self.apart.clear()
-            known = self.apart[key] = (a, b) not in self.rank and self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
-        return known
-
-    def walk(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int], list[int]]]:
-        """Words in depth-first order of their trie, each with, for all its prefixes: the last token, where it starts, and the token count."""
-        get, longest, known = self.whole.get, self.longest, self.apart.get
-        last, start, count, before = [-1], [0], [0], b""
+        """Whether BPE leaves two tokens side by side as they are."""
+        if self._pairs >= REMEMBERED_PAIRS:
+            self._pairs = 0
+            for known in self.apart:
+                known.clear()
+        self._pairs += 1
+        ok = self.apart[a][b] = (a, b) not in self.rank and self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+        return ok
+
+    def walk(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
+        """Words in depth-first order of their trie, each with the last token of all its prefixes, and where that starts."""
+        get, longest, apart, stays_apart = self.whole.get, self.longest, self.apart, self.stays_apart
+        last, start, after, before = [-1], [0], [{}], b""
         for word in sorted(words):
             n, same, most = len(word), 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :], start[same + 1 :], count[same + 1 :]
+            del last[same + 1 :], start[same + 1 :], after[same + 1 :]
             for i in range(same + 1, n + 1):
                 for j in range(i - longest if i > longest else 0, i):
                     t = get(word[j:i])
                     if t is not None:
-                        if j == 0:
+                        if not j:
                             break
-                        ok = known(last[j] << 32 | t)
-                        if ok or ok is None and self.stays_apart(last[j], t):
+                        ok = after[j].get(t)
+                        if ok or ok is None and stays_apart(last[j], t):
                             break
                 else:
                     raise ValueError("a byte without a token")
                 last.append(t)
                 start.append(j)
-                count.append(count[j] + 1)
+                after.append(apart[t])
             before = word
-            yield word, last, start, count
+            yield word, last, start
 
     @staticmethod
     def _recall(recent: dict, older: dict, pieces: set[str]) -> tuple[dict, dict, set[str]]:
@@ -179,7 +187,7 @@ class ByteBPE:
         """Ids of the pre-tokens (and of others seen lately)."""
         self.known, self._known, new = self._recall(self.known, self._known, pieces)
         by_bytes = {p.encode(): p for p in new}
-        for word, last, start, _ in self.walk(list(by_bytes)):
+        for word, last, start in self.walk(list(by_bytes)):
             ids, i = [], len(word)
             while i:
                 ids.append(last[i])
@@ -191,32 +199,77 @@ class ByteBPE:
         """Token counts of the pre-tokens; no ids are made."""
         self.lengths, self._lengths, new = self._recall(self.lengths, self._lengths, pieces)
         by_bytes = {p.encode(): p for p in new}
-        for word, _, _, count in self.walk(list(by_bytes)):
-            self.lengths[by_bytes[word]] = count[-1]
+        for word, _, start in self.walk(list(by_bytes)):
+            n, i = 0, len(word)
+            while i:
+                n += 1
+                i = start[i]
+            self.lengths[by_bytes[word]] = n
         return self.lengths
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cuts = [list(self.parts(t)) for t in texts]
-        known = self.learn({p for parts in cuts for pieces, _ in parts for p in pieces})
-        out = []
-        for parts in cuts:
-            ids: list[int] = []
-            for pieces, special in parts:
-                ids.extend(chain.from_iterable(map(known.__getitem__, pieces)))
+    def numbered(self, texts: list[str]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+        """Distinct pre-tokens, and each text as their numbers; a special token is numbered -1 - id."""
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        rows = []
+        for text in texts:
+            line: list[int] = []
+            for pieces, special in self.parts(text):
+                line.extend(map(number.__getitem__, pieces))
                 if special is not None:
-                    ids.append(special)
-            out.append(ids)
-        return out
+                    line.append(-1 - special)
+            rows.append(np.array(line, np.int32))
+        at = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum([len(r) for r in rows], out=at[1:])
+        return list(number), rows, at
+
+    def encode_all(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each text: those of the distinct pre-tokens, gathered by place."""
+        pieces, rows, at = self.numbered(texts)
+        known = self.learn(set(pieces))
+        ids = [known[p] for p in pieces]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        place = np.cumsum(size) - size
+        line = np.concatenate([np.empty(0, np.int32), *rows])
+        special = line < 0
+        if special.any():  # they follow the others in the table that is read from
+            names, where = np.unique(line[special], return_inverse=True)
+            place = np.append(place, len(flat) + np.arange(len(names)))
+            size = np.append(size, np.ones(len(names), np.int64))
+            flat = np.append(flat, -1 - names).astype(np.int32)
+            line[special] = len(pieces) + where
+        n = size[line]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(place[line] - ends[:-1], n) + np.arange(ends[-1])]
+        return pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(out))
+
+    def decode_all(self, rows: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids: the tokens' bytes, gathered by place."""
+        rows = rows.fill_null([]) if rows.null_count else rows
+        at = np.asarray(rows.offsets, np.int64)
+        ids = np.asarray(rows.values, np.int64)[at[0] : at[-1]]
+        n = self._length[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        data = self._spelled[np.repeat(self._place[ids] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = ends[at - at[0]]
+        try:
+            out = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # some bytes are no UTF-8
+            raw = data.tobytes()
+            out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.large_string())
+        return out.cast(pa.string())
 
     def count_all(self, texts: list[str]) -> list[int]:
-        """Joins the per-text frequencies of pre-tokens with the counts of the block's distinct pre-tokens, and sums."""
-        frequencies, special = [], []
-        for t in texts:
-            parts = list(self.parts(t))
-            frequencies.append(Counter(parts[0][0]) if len(parts) == 1 else Counter(chain.from_iterable(p for p, _ in parts)))
-            special.append(len(parts) - 1)
-        lengths = self.measure(set().union(*frequencies))
-        return [sum(n * lengths[p] for p, n in f.items()) + s for f, s in zip(frequencies, special)]
+        """Joins the per-text frequencies of pre-tokens with the counts of the distinct pre-tokens, and sums."""
+        pieces, rows, _ = self.numbered(texts)
+        lengths = self.measure(set(pieces))
+        size = np.fromiter((lengths[p] for p in pieces), np.int64, len(pieces))
+        out = []
+        for row in rows:
+            piece, frequency = np.unique(row[row >= 0], return_counts=True)
+            out.append(int(size[piece] @ frequency) + int((row < 0).sum()))
+        return out
 
 
 _loaded: dict[str, ByteBPE] = {}
@@ -237,21 +290,15 @@ def _add(df: DataFrame, text: str, name: str, kind: pa.DataType, spark_type: T.D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in cut(batch, text):
+            for block in cut(batch, text, BLOCK):
                 yield pa.RecordBatch.from_arrays([*block.batch.columns, make(block).cast(kind)], names=[*keep, name])
 
     return source.mapInArrow(run, schema)
 
 
-def _ragged(rows: list[list[int]]) -> pa.Array:
-    at = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=at[1:])
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(at[-1]))))
-
-
 def bpe_encode(df: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with `ids`, an array of the text's token ids.  A column of that name is replaced."""
-    return _add(df, text, ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()), lambda b: _ragged(load(tokenizer_path).encode_all([t.decode() for t in b.texts()])))
+    return _add(df, text, ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()), lambda b: load(tokenizer_path).encode_all([t.decode() for t in b.texts()]))
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -261,13 +308,10 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: st
     schema = T.StructType([*source.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = load(tokenizer_path).bytes
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                rows = part.column(part.schema.get_field_index(ids)).to_pylist()
-                out = pa.array([b"".join(map(spelled.__getitem__, r or ())).decode("utf-8", "replace") for r in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*keep, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, load(tokenizer_path).decode_all(part.column(part.schema.get_field_index(ids)))], names=[*keep, text])
 
     return source.mapInArrow(run, schema)
 
