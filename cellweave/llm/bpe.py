@@ -35,6 +35,9 @@ REMEMBERED_PAIRS = 1_000_000
 BLOCK = 6 << 20
 
 
+_NEVER = (1 << 60, -1)
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in files of byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -62,10 +65,12 @@ class ByteBPE:
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(self.ids[spell(a)], self.ids[spell(b)]): (r, self.ids[spell(a + b)]) for r, (a, b) in enumerate(pairs)}
+        self.made_of = {made: (r, a, b) for (a, b), (r, made) in self.rank.items()}
         self.longest = max(map(len, self.ids))
         self.whole = {b: i for b, i in self.ids.items() if self.merge(b) == [i]}
         self.apart: list[dict[int, bool]] = [{} for _ in range(max(self.bytes) + 1)]
         self._pairs = 0
+        self._edges: tuple[dict, dict] = ({}, {})
         self._length = np.array([len(self.bytes.get(i, b"")) for i in range(len(self.apart))])
         self._place = np.cumsum(self._length) - self._length
         self._spelled = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(self.apart))), np.uint8)
@@ -144,9 +149,24 @@ class ByteBPE:
             for known in self.apart:
                 known.clear()
         self._pairs += 1
-        ok = self.apart[a][b] = (a, b) not in self.rank and self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+        ok = self.apart[a][b] = not any(born_x < r and born_y < r < gone_x and r <= gone_y for x, born_x, gone_x in self.edge(a, 1) for y, born_y, gone_y in self.edge(b, 0) if (r := self.rank.get((x, y), _NEVER)[0]) != _NEVER[0])
         return ok
 
+    def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """The tokens that stand at one side (0 left, 1 right) while BPE builds this one: (token, merge that makes it, merge that uses it up), by rank.
+
+        A pair across a border merges if both are there at its rank; of equal ranks the merge further left comes first.
+        """
+        if (known := self._edges[side].get(token)) is None:
+            known, gone, t = [], _NEVER[0], token
+            while t in self.made_of:
+                born, *halves = self.made_of[t]
+                known.append((t, born, gone))
+                t, gone = halves[side], born
+            known.append((t, -1, gone))
+            self._edges[side][token] = known
+        return known
+
     def walk(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
         """Words in depth-first order of their trie, each with the last token of all its prefixes, and where that starts."""
         get, longest, apart, stays_apart = self.whole.get, self.longest, self.apart, self.stays_apart
