@@ -112,11 +112,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.nda
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive values; the last k - 1 positions hold no gram and are left out."""
+    """Hash of each k consecutive values (along the first axis); the last k - 1 positions hold no gram and are left out."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
+    total = np.zeros((n, *hashes.shape[1:]), np.uint64)
     factor = 1
     for i in range(k - 1, -1, -1):
         total += hashes[i : i + n] * np.uint64(factor)
