@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 from .blocks import cut
 
 #: Distinct pre-tokens, and pairs of tokens, that a worker remembers from block to block.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 REMEMBERED_PAIRS = 1_000_000
 #: Bytes of text whose distinct pre-tokens share a trie.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 
 
 _NEVER = (1 << 60, -1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, sharding, simhash, toxicity, winnow
+from . import bpe, decontaminate, lm, passages, quality, sharding, simhash, toxicity, winnow
 from .shared import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, weighted = quality.choose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return weighted.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "log_weight", (F.col("key") >= model.least).alias("selected"))
+
+
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scored = lm.score(docs, lm.train(docs.where(~held_out)))
+    return scored.withColumn("held_out", held_out).withColumn("perplexity", lm.perplexity(F.col("n_tokens"), F.col("score")))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -1,14 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer writes a text as symbols: insult, threat, target, negation, report, plain, and clause end.  The words
-of the first two come from a short list and from labelled rows: words, and fronts of words, that stand in toxic texts far
-more often than in others.  A clause machine, composed with it, reads the symbols: negation holds for the next few words,
-a verb of reporting for the rest of its clause, a target near an insult makes it personal.  What it puts out is the kind of each clause that matched: threatening,
-personal, plain, negated or reported.  A text's counts by kind, not its words, are scored: a logistic model, fitted to the
-labelled rows as a table of counts by kind and label, gives each kind its weight.
+A lexical transducer writes a text as symbols: insult, suspect, threat, target, negation, report, other, and clause end.
+Insults and suspects come from a short list and from labelled rows: fronts of words, and words, that stand in toxic texts far
+more often (insults) or more often (suspects) than in others.  A clause machine, composed with it, reads the symbols:
+negation holds for the next few words, a verb of reporting for the rest of its clause, a target near an insult makes it
+personal.  It puts out the kind of each match in a clause: threatening, personal, plain, negated, reported or suspect.  The
+counts by kind, not the words, are scored: a logistic model, fitted to the labelled rows as a table of counts by kind and
+label, has a weight for each first, second and third match of a kind.
 
-Learning reads labels of at most `sample` rows, about, for words (the bound holds whatever the table's size), and of all
-training rows for the weights, as a table of at most LEVELS ^ 5 cells.  Labels, language, source and id are no inputs of a score.
+Learning reads at most about `sample` labelled rows for words (the bound holds whatever the table's size), and all training
+rows for the weights, as a table of at most LEVELS ^ 6 cells.  Labels, language, source and id are no inputs of a score.
 
 Cases: null and empty texts have no clauses and get the model's base rate; repeated rows get equal scores; rows without a
 label are scored but not learned from; with no labels at all the listed words and built-in weights hold.
@@ -32,14 +33,16 @@ from .shared import keep
 #: Labelled rows from which words are learned, about.
 SAMPLE_ROWS = 20_000
 #: Entries of the learned lexicon at most.
-ENTRIES = 1_000
+ENTRIES = 2_000
 #: Counts by kind are cut off here: 0, 1, 2, 3 or more.
 LEVELS = 4
-KINDS = ("threatening", "personal", "plain", "negated", "reported")
+KINDS = ("threatening", "personal", "plain", "negated", "reported", "suspect")
 #: Words after a negation that it holds for; words from a target to the insult it makes personal.
 NEGATED_WORDS, TARGET_WORDS = 3, 4
 #: Lengths of the fronts of words that count as features.
 FRONTS = range(4, 9)
+#: How many times as often a word or front must stand in toxic texts to be an insult, or a suspect.
+INSULT_RATIO, SUSPECT_RATIO = 30, 4
 
 INSULTS = frozenset("idiot idiots moron morons stupid dumb imbecile scum scumbag trash loser losers pathetic worthless disgusting clown filth vermin bastard bitch asshole cretin".split())
 THREATS = frozenset("kill murder strangle stab shoot hang burn beat destroy hurt".split())
@@ -47,6 +50,8 @@ TARGETS = frozenset("you your yours youre u he she they them him her these those
 NEGATIONS = frozenset("not no never nobody neither nor without isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine nie ne pas jamais nunca ni sin".split())
 REPORTS = frozenset("said says say saying wrote writes quoted quotes claimed claims called reported according told dit sagte schrieb dijo".split())
 
+#: Clauses with something to match.
+_CLAUSE = regex.compile(r"[^.]*[ihs][^.]*")
 _TOKEN = regex.compile(r"[^\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[.!?;:\n]")
 
 
@@ -56,16 +61,19 @@ class Grammar:
 
     words: frozenset[str] = INSULTS
     fronts: frozenset[str] = frozenset()
+    suspects: frozenset[str] = frozenset()
     bias: float = -3.0
-    weights: tuple[float, ...] = (5.0, 5.0, 4.0, 1.0, 1.0)
+    weights: tuple[float, ...] = (5.0, 1.0, 1.0, 5.0, 1.0, 1.0, 4.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
     _memory: dict = field(default_factory=dict, repr=False, compare=False)
 
     def symbol(self, word: str) -> str:
-        """The lexical transducer: i insult, h threat, t target, n negation, r report, . clause end, w other."""
+        """The lexical transducer: i insult, s suspect, h threat, t target, n negation, r report, . clause end, w other."""
         if word in (".", "!", "?", ";", ":", "\n"):
             return "."
         if word in self.words or any(word[:n] in self.fronts for n in FRONTS if n <= len(word)):
             return "i"
+        if any(word[:n] in self.suspects for n in FRONTS if n <= len(word)):
+            return "s"
         return "h" if word in THREATS else "n" if word in NEGATIONS else "t" if word in TARGETS else "r" if word in REPORTS else "w"
 
     def symbols(self, text: str) -> str:
@@ -81,15 +89,8 @@ class Grammar:
         return "".join(out)
 
     def clauses(self, text: str) -> list[int]:
-        """Kinds of the clauses that match, one for each insult (or threat on a target) in a clause."""
-        out: list[int] = []
-        line = self.symbols(text)
-        if "i" not in line and "h" not in line:
-            return out
-        for clause in line.split("."):
-            if "i" in clause or "h" in clause:
-                out += self.machine(clause)
-        return out
+        """Kinds of the matches: one for each insult, suspect, or threat on a target, in a clause."""
+        return [kind for clause in _CLAUSE.findall(self.symbols(text)) for kind in self.machine(clause)]
 
     @staticmethod
     def machine(clause: str) -> list[int]:
@@ -106,6 +107,8 @@ class Grammar:
                     out.append(4)
                 else:
                     out.append(0 if s == "h" else 1 if near else 2)
+            elif s == "s":
+                out.append(5)
             negated = NEGATED_WORDS if s == "n" else max(0, negated - 1)
             reported = reported or s == "r"
             since = 0 if s == "t" else since + 1
@@ -148,7 +151,7 @@ def _one_of_copies(labelled: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(labelled: DataFrame, *, entries: int = ENTRIES) -> Grammar:
-    """A grammar without fitted weights, from rows (text, toxic): words and fronts of words that stand in at least one of 250 toxic texts, and 12 times as often as in others.
+    """A grammar without fitted weights, from rows (text, toxic): words and fronts of words that stand in at least one of 250 toxic texts, and SUSPECT_RATIO times as often as in others.
 
     Of copies one counts.
     """
@@ -160,21 +163,39 @@ def learn_lexicon(labelled: DataFrame, *, entries: int = ENTRIES) -> Grammar:
     least = max(5, math.ceil(toxic / 250))
     rows = labelled.mapInArrow(_features, "feature string, toxic bigint, other bigint")
     rows = rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    ratio = (F.col("toxic") / toxic) / ((F.col("other") + 0.5) / other)
-    rows = rows.where((F.col("toxic") >= least) & (ratio >= 12)).orderBy(F.desc("toxic"), "feature").limit(entries)
-    found = [r["feature"] for r in rows.collect()]
-    fronts = {f[1:] for f in found if f[0] == "^"}
-    words = {f for f in found if f[0] != "^" and not any(f[:n] in fronts for n in FRONTS if n <= len(f))}
-    return Grammar(frozenset(words | INSULTS), frozenset(f for f in fronts if not any(f[:n] in fronts for n in FRONTS if n < len(f))))
+    rows = rows.withColumn("ratio", (F.col("toxic") / toxic) / ((F.col("other") + 0.5) / other))
+    rows = rows.where((F.col("toxic") >= least) & (F.col("ratio") >= SUSPECT_RATIO)).orderBy(F.desc("toxic"), "feature").limit(entries)
+    return sort_out({r["feature"]: (r["toxic"], r["ratio"]) for r in rows.collect()})
+
+
+def sort_out(found: dict[str, tuple[int, float]]) -> Grammar:
+    """Insults and suspects from features (toxic texts, ratio); fronts are marked by "^".
+
+    The shortest front found stands for its family; longer ones count only where most of the family's toxic texts have them.
+    """
+    insults, suspects = set(), set()
+    for f in sorted(f for f in found if f[0] == "^"):
+        roots = [f[: n + 1] for n in FRONTS if n < len(f) - 1 and f[: n + 1] in found]
+        if not roots:
+            (insults if found[f][1] >= INSULT_RATIO else suspects).add(f[1:])
+        elif found[f][1] >= INSULT_RATIO and found[f][0] >= 0.8 * found[roots[0]][0]:
+            insults.add(f[1:])
+    short = {f for f in found if f[0] != "^" and len(f) < FRONTS[0] and found[f][1] >= INSULT_RATIO}
+    return Grammar(frozenset(short | INSULTS), frozenset(insults), frozenset(suspects))
+
+
+def steps(counts: tuple[int, ...]) -> list[int]:
+    """For each kind whether there is a first, second, third match."""
+    return [int(c >= n) for c in counts for n in range(1, LEVELS)]
 
 
-def fit(cells: list[tuple[tuple[int, ...], int, int]], *, steps: int = 60, ridge: float = 1.0) -> tuple[float, tuple[float, ...]]:
+def fit(cells: list[tuple[tuple[int, ...], int, int]], *, rounds: int = 60, ridge: float = 1.0) -> tuple[float, tuple[float, ...]]:
     """Bias and weights of a logistic model from (counts by kind, toxic rows, other rows), by Newton's method with a ridge."""
-    x = np.array([(1, *c) for c, _, _ in cells], float)
+    x = np.array([(1, *steps(c)) for c, _, _ in cells], float)
     t, o = (np.array([c[i] for c in cells], float) for i in (1, 2))
     w = np.zeros(x.shape[1])
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(steps):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         gradient = x.T @ ((t + o) * p - t) + penalty @ w
         hessian = (x * ((t + o) * p * (1 - p))[:, None]).T @ x + penalty
@@ -226,6 +247,6 @@ def score(counted: DataFrame, grammar: Grammar) -> DataFrame:
     """count() with score and predicted."""
     z = F.lit(float(grammar.bias))
     for i, w in enumerate(grammar.weights):
-        z = z + F.lit(float(w)) * F.col("clauses")[i]
+        z = z + F.when(F.col("clauses")[i // (LEVELS - 1)] > i % (LEVELS - 1), F.lit(float(w))).otherwise(F.lit(0.0))
     out = counted.withColumn("score", 1 / (1 + F.exp(-z)))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
