@@ -16,13 +16,13 @@ written as an empty string.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import Block, byte_class, cut, grams, window_minima, within, words
 from .shared import keep
@@ -148,22 +148,23 @@ def _sum_by_text(first: np.ndarray, hit: np.ndarray) -> np.ndarray:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = GRAM, part_windows: int = PART_WINDOWS) -> DataFrame:
-    """Of each row of docs (doc_id, text): n_words, n_hit (words in a window that occurs in the benchmark) and items (ids, sorted as strings).
+    """docs (doc_id, text, others) with n_words, n_hit (words in a window that occurs in the benchmark) and items (ids, sorted as strings).
 
-    benchmark has item_id and text.
+    benchmark has item_id and text.  Columns of docs with the three names are replaced.
     """
     if not 1 <= k <= span:
         raise ValueError("k must be from 1 to span")
-    source = docs.select("doc_id", "text")
+    columns = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
+    source = docs.select(*[F.col(f"`{c}`") for c in columns])
     bench = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(lambda it: _windows_of(it, span, k), "item string, m int, anchors binary, one binary, two binary")
     total = bench.agg(F.sum(F.octet_length("one") / 8)).first()[0] or 0
     parts = int(-(-total // part_windows)) or 1
-    kind = source.schema["doc_id"].dataType.simpleString()
 
     def index_of(part: int):
         rows = bench if parts == 1 else keep(bench, "benchmark windows").where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
         return docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows.toLocalIterator()], k))
 
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
     if parts == 1:
         index = index_of(0)
 
@@ -172,11 +173,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
                 for block in cut(batch):
                     first, hit, items = _hits(block, index.value)
                     lists = [[index.value.ids[i] for i in x] for x in items]
-                    yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(first)), pa.array(_sum_by_text(first, hit)), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+                    yield pa.RecordBatch.from_arrays([*block.batch.columns, pa.array(np.diff(first)), pa.array(_sum_by_text(first, hit)), pa.array(lists, pa.list_(pa.string()))], names=[*columns, "n_words", "n_hit", "items"])
 
-        return source.mapInArrow(judge, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>")
+        return source.mapInArrow(judge, T.StructType([*source.schema.fields, *more]))
 
-    keyed = source.withColumn("text_key", F.xxhash64("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    keyed = source.select("doc_id", "text", F.xxhash64("text").alias("__key"))
     found = None
     for part in range(parts):
         index = index_of(part)
@@ -189,43 +191,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
                     bits = [np.packbits(hit[first[i] : first[i + 1]]).tobytes() for i in some]
                     lists = [[index.value.ids[i] for i in items[t]] for t in some]
                     rows = block.batch.take(pa.array(some, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(bits, pa.binary()), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "text_key", "bits", "items"])
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(bits, pa.binary()), pa.array(lists, pa.list_(pa.string()))], names=["id", "key", "bits", "found"])
 
-        rows = keep(keyed.mapInArrow(mark, f"doc_id {kind}, text_key bigint, bits binary, items array<string>").dropDuplicates(["doc_id", "text_key"]), "decontamination part")
+        rows = keep(keyed.mapInArrow(mark, f"id {kind}, key bigint, bits binary, found array<string>").dropDuplicates(["id", "key"]), "decontamination part")
         found = rows if found is None else found.unionByName(rows)
         index.destroy()
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in row])).sum()) for row in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["doc_id", "text_key", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["id", "key", "hits", "found"])
 
-    united = found.groupBy("doc_id", "text_key").agg(F.collect_list("bits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    united = united.mapInArrow(unite, f"doc_id {kind}, text_key bigint, n_hit bigint, items array<string>").select(F.col("doc_id").alias("k1"), F.col("text_key").alias("k2"), "n_hit", "items")
+    # as many bit sets a text as there are parts, at most
+    united = found.groupBy("id", "key").agg(F.collect_list("bits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    united = united.mapInArrow(unite, f"id {kind}, key bigint, hits bigint, found array<string>")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in cut(batch):
-                first = words(block.data, block.offsets, _TABLE).first
-                yield pa.RecordBatch.from_arrays([block.batch.column(0), block.batch.column(2), pa.array(np.diff(first))], names=["doc_id", "text_key", "n_words"])
+                yield pa.RecordBatch.from_arrays([*block.batch.columns, pa.array(np.diff(words(block.data, block.offsets, _TABLE).first))], names=[*columns, "n_words"])
+
+    counted = source.mapInArrow(count, T.StructType([*source.schema.fields, more[0]]))
+    joined = counted.join(united.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("hits").alias("__hits"), F.col("found").alias("__found")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], "n_words", F.coalesce("__hits", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("__found", F.array().cast("array<string>")).alias("items"))
 
-    counted = keyed.mapInArrow(count, f"doc_id {kind}, text_key bigint, n_words bigint")
-    joined = counted.join(united, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+def contaminated() -> Column:
+    """Whether a row of contamination() is hit, in one word of twenty at least."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def verdict(found: DataFrame) -> DataFrame:
-    """contamination() with n_items, items_sha256 and contaminated: hit, in one word of twenty at least."""
+    """contamination() with the items counted and digested."""
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
-
-
-def items_digest(items: list[str]) -> str:
-    """Lowercase hex SHA-256 of the ids, sorted as strings and joined by commas."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -68,16 +68,16 @@ def block_fingerprints(block: Block, shingle: int = SHINGLE, seed: int = SEED) -
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
-    source = docs.select("doc_id", "text")
+    """(doc_id, text_key, fp): text_key is a 64-bit hash that tells rows of equal id apart, fp the 64 bits as a signed long."""
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in cut(batch):
                 fp = block_fingerprints(block, shingle, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text_key"), pa.array(fp)], names=["doc_id", "text_key", "fp"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key bigint, fp bigint")
 
 
 def choices(distance: int) -> list[int]:
@@ -184,16 +184,27 @@ def links(distinct: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: component_id is the least doc_id reachable over links."""
+    """(doc_id, text_key, fp, root, component_id) of each row: component_id is the least doc_id reachable over links, root the least fingerprint."""
     of_docs = keep(fingerprints(docs, shingle=shingle, seed=seed), "fingerprints")
     least = keep(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct fingerprints")
     found = components(links(least, distance=distance)).select(F.col("node").alias("fp"), "root")
     linked = keep(least.join(found, "fp"), "linked fingerprints")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = keep(linked.join(of_root, "root").where("component_id <> least or least is null").select(F.col("fp"), "component_id"), "components")
-    mapping = least.join(moved, "fp", "left").select(F.col("fp").alias("k"), F.coalesce("component_id", "least").alias("component_id"))
+    moved = keep(linked.join(of_root, "root").select("fp", "root", "component_id"), "components")
+    mapping = least.join(moved, "fp", "left").select(F.col("fp").alias("k"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     mapping = keep(mapping, "component of fingerprint")
-    return of_docs.join(mapping, of_docs.fp == mapping.k).select("doc_id", "fp", "component_id")
+    return of_docs.join(mapping, of_docs.fp == mapping.k).select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """docs without near duplicates: of each component the row of the least doc_id stays (of several texts under that id one, of equal rows one)."""
+    found = keep(near_duplicates(docs, **settings), "near duplicates")
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    chosen = chosen.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"))
+    left = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        return left
+    return left.dropDuplicates(["doc_id", "text"])
 
 
 def hex_digits(fp: Column) -> Column:
