@@ -29,14 +29,15 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import _raw, byte_class, grams, mix, window_minima, within, words
+from .blocks import byte_class, grams, mix, window_minima, within, words
 
 SPAN = 13
-GRAM = 5
+GRAM = 6
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 3 << 20
 #: Windows in one automaton, about.
@@ -145,40 +146,26 @@ def _phrases(table: pa.Table, answer: pa.Table, span: int, k: int, buckets: int)
         key[lone] = grams(group.hash[start[lone][:, None] + np.arange(span)].T.copy(), span)[0]
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(start)))
+    # a phrase is told by its first and last window, which overlap, and its length
+    ends = start[begin] + n - 1
+    edges = grams(group.hash[np.concatenate([start[begin], ends])[:, None] + np.arange(span)].T.copy(), span)[0]
+    told = mix(edges[: len(n)] ^ mix(edges[len(n) :] + n.astype(np.uint64)))
+    key, doc, begin = key[begin], doc[begin], start[begin]
+    order = np.lexsort((group.ids[doc], told, _bucket(key, buckets)))
+    told, key, doc, begin, n = told[order], key[order], doc[order], begin[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (told[1:] != told[:-1]) | (key[1:] != key[:-1])])[: len(told)])
+    times = np.diff(np.append(at, len(told)))
+    least, most = group.ids[doc[at]], group.ids[doc[at + times - 1]]
     line = b" ".join(group.spelled.split())
     edge = np.concatenate([[0], np.cumsum(group.size + 1)])
-    a, z = edge[start[begin]], edge[start[begin] + n + span - 1] - 1
-    found: dict[tuple[int, bytes], list] = {}
-    own = group.ids
-    for key_, left, right, windows, d, s in zip(key[begin].tolist(), a.tolist(), z.tolist(), n.tolist(), doc[begin].tolist(), (start[begin] - group.first[doc[begin]]).tolist()):
-        entry = found.get((key_, phrase := line[left:right]))
-        if entry is None:
-            found[key_, phrase] = [windows, [d], [s]]
-        else:
-            entry[1].append(d)
-            entry[2].append(s)
-    entries = list(found.items())
-    bucket = _bucket(np.array([e[0][0] for e in entries], np.uint64), buckets)
-    order = np.argsort(bucket, kind="stable")
+    left, right = edge[begin[at]].tolist(), (edge[begin[at] + n[at] + span - 1] - 1).tolist()
+    place = (begin - group.first[doc]).astype(np.uint32)
+    pack = zstandard.ZstdCompressor(level=3).compress
     rows = []
-    for b, i, j in _runs(bucket[order]):
-        part = [entries[x] for x in order[i:j]]
-        documents = [e[1][1] for e in part]
-        ids = [own[d] for d in documents]  # in falling order of nothing: least and greatest tell whether there are several
-        rows.append(
-            (
-                b,
-                g,
-                np.array([e[0][0] for e in part], np.uint64).tobytes(),
-                b"\n".join(e[0][1] for e in part),
-                np.array([e[1][0] for e in part], np.uint32).tobytes(),
-                np.array([x.min() for x in ids], np.int64).tobytes(),
-                np.array([x.min() != x.max() for x in ids], bool).tobytes(),
-                np.array([len(d) for d in documents], np.uint32).tobytes(),
-                np.array([x for d in documents for x in d], np.uint32).tobytes(),
-                np.array([x for e in part for x in e[1][2]], np.uint32).tobytes(),
-            )
-        )
+    for b, i, j in _runs(_bucket(key[at], buckets)):
+        each = slice(at[i], at[j - 1] + times[j - 1])
+        text = pack(b"\n".join([line[x:y] for x, y in zip(left[i:j], right[i:j])]))
+        rows.append((b, g, key[at[i:j]].tobytes(), text, n[at[i:j]].astype(np.uint32).tobytes(), least[i:j].tobytes(), (least[i:j] != most[i:j]).tobytes(), times[i:j].astype(np.uint32).tobytes(), doc[each].astype(np.uint32).tobytes(), place[each].tobytes()))
     columns = list(zip(*rows)) or [[]] * 10
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
 
@@ -200,7 +187,7 @@ def _letters(phrases: list[bytes]) -> list[str]:
 
 
 def locate(phrases: list[bytes], first: list[int], many: list[bool], span: int) -> list[list[int]]:
-    """For each phrase, and each window in it, the first document that a confirmed window starts in, else _NONE.
+    """For each of these different phrases, and each window in it, the first document that a confirmed window starts in, else _NONE.
 
     first: the least document that holds the phrase; many: whether several hold it.
     """
@@ -208,13 +195,13 @@ def locate(phrases: list[bytes], first: list[int], many: list[bool], span: int)
     owner: dict[str, int] = {}
     confirmed: set[str] = set()
     for line, doc, several in zip(lines, first, many):
-        for i in range(len(line) - span + 1):
-            window = line[i : i + span]
+        windows = [line[i : i + span] for i in range(len(line) - span + 1)]
+        if several:
+            confirmed.update(windows)
+        for window in windows:
             before = owner.get(window)
             if before is None:
                 owner[window] = doc
-                if several:
-                    confirmed.add(window)
             else:
                 confirmed.add(window)
                 if doc < before:
@@ -237,29 +224,37 @@ def _located(table: pa.Table, span: int) -> pa.Table:
     groups = table.column(_G).to_pylist()
     column = lambda name, kind: _bytes_column(table.column(name), kind)
     keys, windows, first, many = column("key", np.uint64), column("windows", np.uint32), column("first", np.int64), column("many", bool)
-    of = np.repeat(np.arange(len(groups)), [len(k) for k in keys])
-    within_row = np.concatenate([np.arange(len(k)) for k in keys])
-    key, size, least, several = (np.concatenate(x) for x in (keys, windows, first, many))
+    unpack = zstandard.ZstdDecompressor().decompress
+    number: dict[bytes, int] = {}
+    of = [np.array([number.setdefault(p, len(number)) for p in unpack(b.as_buffer().to_pybytes()).split(b"\n")], np.int64) for b in table.column("phrases")]
+    each, n = np.concatenate(of), len(number)
+    least, size, key = np.full(n, _NONE, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+    np.minimum.at(least, each, np.concatenate(first))
+    size[each], key[each] = np.concatenate(windows), np.concatenate(keys)
+    several = np.bincount(each, minlength=n) > 1
+    several[each[np.concatenate(many)]] = True
+    spelled = list(number)
+    del number
     parts = max(1, int(-(-int(size.sum()) // AUTOMATON_WINDOWS)))
     part = (mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
-    spelled = [b.as_buffer().to_pybytes().split(b"\n") for b in table.column("phrases")]
-    answer: list = [None] * len(key)
+    begin = np.cumsum(size) - size
+    owners = np.full(int(size.sum()), _NONE, np.int64)
     order = np.argsort(part, kind="stable")
     for _, a, z in _runs(part[order]):
         chosen = order[a:z]
-        found = locate([spelled[of[i]][within_row[i]] for i in chosen], least[chosen].tolist(), several[chosen].tolist(), span)
-        for i, x in zip(chosen.tolist(), found):
-            answer[i] = x
-    rows, at = [], 0
+        found = locate([spelled[i] for i in chosen.tolist()], least[chosen].tolist(), several[chosen].tolist(), span)
+        for i, x in zip(begin[chosen].tolist(), found):
+            owners[i : i + len(x)] = x
+    use = np.minimum.reduceat(owners, begin) != _NONE if n else np.empty(0, bool)
+    rows = []
     for i, g in enumerate(groups):
-        n = len(keys[i])
-        mine = answer[at : at + n]
-        at += n
-        times, docs, starts = (np.frombuffer(table.column(c)[i].as_buffer(), np.uint32) for c in ("times", "docs", "starts"))
-        use = np.array([any(o != _NONE for o in x) for x in mine], bool)
-        if use.any():
-            spread = np.repeat(use, times)
-            rows.append((g, times[use].tobytes(), docs[spread].tobytes(), starts[spread].tobytes(), windows[i][use].tobytes(), np.array([o for x, u in zip(mine, use) if u for o in x], np.int64).tobytes()))
+        mine = use[of[i]]
+        if mine.any():
+            times, docs, starts = (np.frombuffer(table.column(c)[i].as_buffer(), np.uint32) for c in ("times", "docs", "starts"))
+            spread, chosen = np.repeat(mine, times), of[i][mine]
+            k = size[chosen]
+            places = np.repeat(begin[chosen] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            rows.append((g, times[mine].tobytes(), docs[spread].tobytes(), starts[spread].tobytes(), windows[i][mine].tobytes(), owners[places].tobytes()))
     columns = list(zip(*rows)) or [[]] * 6
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5))], names=[_G, "times", "docs", "starts", "windows", "owners"])
 

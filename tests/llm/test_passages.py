@@ -46,4 +46,4 @@ def test_columns_stay(odd_docs, no_docs):
 
 def test_automaton_finds_overlapping_windows():
     phrases = [b"a b c d", b"b c d e", b"x y z", b"b c d"]
-    assert passages.locate(phrases, [5, 3, 1, 9], [False, False, False, False], 3) == [[passages._NONE, 3], [3, passages._NONE], [passages._NONE], [3]]
+    assert passages.locate(phrases, [5, 3, 1, 9], [False] * 4, 3) == [[passages._NONE, 3], [3, passages._NONE], [passages._NONE], [3]]
