@@ -9,9 +9,10 @@ The documents are dealt once into groups of a few megabytes, which three rounds
 2. Groups send the phrases around recurring anchors, each distinct phrase once with its first document, to the bucket of the
    anchor.  (A phrase is the words of all windows of one anchor; where an anchor recurs in very many groups, each window is
    a phrase of its own and goes to a bucket by its own hash, so that no bucket gets all that surrounds a common line.)
-   A bucket is a shard: it confirms the windows that recur, compiles them into an Aho-Corasick automaton, each with the first
-   document it starts in, and streams all phrases through it.  In the automaton a word is a letter, so a window is a key of
-   `span` letters.  Shards of too many windows are cut by anchor into several automata, one at a time.
+   A bucket is a shard: it confirms what recurs (phrases that several documents hold, and windows that stand in several
+   different phrases), compiles it into an Aho-Corasick automaton, each with its first document, and streams all phrases
+   through it.  In the automaton a word is a letter, so a window is a key of `span` letters.  Shards of too many windows are
+   cut by anchor into several automata, one at a time.
 3. Groups hear where windows were found, and cover their words.
 
 Groups answer for their own documents, so a passage that stands in a third of all documents is sent once a group.
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from .blocks import byte_class, grams, mix, window_minima, within, words
 
 SPAN = 13
-GRAM = 6
+GRAM = 5
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 3 << 20
 #: Windows in one automaton, about.
@@ -192,30 +193,30 @@ def locate(phrases: list[bytes], first: list[int], many: list[bool], span: int)
     first: the least document that holds the phrase; many: whether several hold it.
     """
     lines = _letters(phrases)
-    owner: dict[str, int] = {}
-    confirmed: set[str] = set()
+    holder: dict[str, int] = {}
+    shared: dict[str, int] = {}
+    for n, line in enumerate(lines):
+        for i in range(len(line) - span + 1):
+            window = line[i : i + span]
+            other = holder.setdefault(window, n)
+            if other != n:
+                shared[window] = min(shared.get(window, first[other]), first[n])
+    del holder
+    out = [[_NONE] * (len(line) - span + 1) for line in lines]
+    automaton = ahocorasick.Automaton()
     for line, doc, several in zip(lines, first, many):
-        windows = [line[i : i + span] for i in range(len(line) - span + 1)]
         if several:
-            confirmed.update(windows)
-        for window in windows:
-            before = owner.get(window)
-            if before is None:
-                owner[window] = doc
-            else:
-                confirmed.add(window)
-                if doc < before:
-                    owner[window] = doc
-    out = [[_NONE] * (len(line) - span + 1) for line in lines]
-    if confirmed:
-        automaton = ahocorasick.Automaton()
-        for window in confirmed:
-            automaton.add_word(window, owner[window])
-        del owner, confirmed
+            automaton.add_word(line, (len(line), doc))
+    for window, doc in shared.items():  # takes the place of a phrase that is this window alone
+        automaton.add_word(window, (span, doc))
+    del shared
+    if len(automaton):
         automaton.make_automaton()
         for line, found in zip(lines, out):
-            for end, doc in automaton.iter(line):
-                found[end - span + 1] = doc
+            for end, (length, doc) in automaton.iter(line):
+                for i in range(end - length + 1, end - span + 2):
+                    if doc < found[i]:
+                        found[i] = doc
     return out
 
 
