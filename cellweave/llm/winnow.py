@@ -104,7 +104,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, *, parts: int | None = None, piece: int = PIECE, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Fingerprints of each row's text and of its edited text, and how near its own is to that and to the next row's.
+    """Fingerprints (packed) of each row's text and of its edited text, and how near its own is to that and to the next row's.
 
     Edited: the last n_chars / 2 code points (rounded down) give way to as many of the next row's first, or all.  The next
     row is that of the next smaller doc_id (equal ids by text, null last), after the last the first; a single row is its own
@@ -125,9 +125,9 @@ def edited_fingerprints(docs: DataFrame, *, parts: int | None = None, piece: int
     return both.select(
         "doc_id",
         size.cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        rendered(F.col("own")).alias("fingerprint"),
-        rendered(F.col("changed")).alias("edited_fingerprint"),
+        "edited",
+        F.col("own").alias("fingerprint"),
+        F.col("changed").alias("edited_fingerprint"),
         likeness(F.col("h_own"), F.col("h_changed")).alias("near_edited"),
         likeness(F.col("h_own"), F.col("h_next")).alias("near_next"),
     )
