@@ -32,6 +32,10 @@ from .shared import keep
 BUCKETS = 1 << 15
 #: Rows labelled as good from which the target model is counted, about.
 SAMPLE_ROWS = 20_000
+#: Added to a bucket's counts, seen and expected: what is rare tells nothing.
+PRIOR = 5.0
+#: A share of good rows lost weighs as much as so many times that share of the others kept.
+KEEP = 4
 #: Keys are compared in steps of 2^-20.
 _STEP = 1 << 20
 WEIGHT = "log_weight"
@@ -146,9 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, sample: i
         share = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / n))).select("doc_id")
         target = _counted(docs.select("doc_id", "text").join(F.broadcast(share), "doc_id", "left_semi"), buckets)  # about `sample` ids at most
     raw = _counted(docs, buckets)
-    p = (target + 0.5) / (target.sum() + 0.5 * buckets)
-    q = (raw + 0.5) / (raw.sum() + 0.5 * buckets)
-    ratios = np.log(p / q) if target.any() else np.zeros(buckets)
+    expected = raw * (target.sum() / max(raw.sum(), 1))  # in as much text as the target's
+    ratios = np.log((target + PRIOR) / (expected + PRIOR)) if target.any() else np.zeros(buckets)
     return Model(ratios.tobytes(), seed)
 
 
@@ -198,18 +201,19 @@ def kth_greatest(keys: DataFrame, k: int) -> int:
 
 
 def threshold(weighted: DataFrame, labels: DataFrame, *, step: float = 1.0) -> float | None:
-    """The log weight (in whole steps) that best parts the labelled rows: the mean of both kinds' shares on their own side is greatest."""
+    """The log weight (in whole steps) that best parts the labelled rows: KEEP times the share of good rows above it and the share of others below it are greatest."""
     bin_of = F.least(F.greatest(F.floor(F.col(WEIGHT) / step), F.lit(-2000)), F.lit(2000))
     rows = weighted.join(labels, "doc_id").groupBy(bin_of.alias("bin")).agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
     good, bad = sum(r["good"] for r in rows), sum(r["n"] - r["good"] for r in rows)
     if not good or not bad:
         return None
-    best, at, above_good, below_bad = -1.0, None, good, 0
+    best, at, above_good, below_bad, before = -1.0, None, good, 0, None
     for r in rows:
-        if (found := above_good / good + below_bad / bad) > best:
-            best, at = found, r["bin"]
+        if (found := KEEP * above_good / good + below_bad / bad) > best:  # a little into the gap below
+            best, at = found, r["bin"] if before is None else r["bin"] - (r["bin"] - before - 1) / 8
         above_good -= r["good"]
         below_bad += r["n"] - r["good"]
+        before = r["bin"]
     return float(at) * step
 
 

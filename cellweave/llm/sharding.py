@@ -33,6 +33,8 @@ def score(key: Column, shard: int, weight: float) -> Column:
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard, from 0, that takes the key; of equal bids the lowest."""
+    if not weights:
+        raise ValueError("there must be a shard")
     scores = F.array(*[score(key, i, w) for i, w in enumerate(weights)])
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 

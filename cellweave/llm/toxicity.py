@@ -37,6 +37,8 @@ ENTRIES = 2_000
 #: Counts by kind are cut off here: 0, 1, 2, 3 or more.
 LEVELS = 4
 KINDS = ("threatening", "personal", "plain", "negated", "reported", "suspect")
+#: Suspects count as (two, three) if there is one in so many words.
+DENSE = ((2, 250), (3, 100))
 #: Words after a negation that it holds for; words from a target to the insult it makes personal.
 NEGATED_WORDS, TARGET_WORDS = 3, 4
 #: Lengths of the fronts of words that count as features.
@@ -90,7 +92,10 @@ class Grammar:
 
     def clauses(self, text: str) -> list[int]:
         """Kinds of the matches: one for each insult, suspect, or threat on a target, in a clause."""
-        return [kind for clause in _CLAUSE.findall(self.symbols(text)) for kind in self.machine(clause)]
+        return self._kinds(self.symbols(text))
+
+    def _kinds(self, line: str) -> list[int]:
+        return [kind for clause in _CLAUSE.findall(line) for kind in self.machine(clause)]
 
     @staticmethod
     def machine(clause: str) -> list[int]:
@@ -115,10 +120,15 @@ class Grammar:
         return out
 
     def counts(self, text: str) -> tuple[int, ...]:
+        """Matches by kind, at most LEVELS - 1.  Suspects, which long texts have by chance, count as two or three only where they are that dense."""
+        line = self.symbols(text)
         n = [0] * len(KINDS)
-        for kind in self.clauses(text):
-            n[kind] = min(n[kind] + 1, LEVELS - 1)
-        return tuple(n)
+        for kind in self._kinds(line):
+            n[kind] += 1
+        last = len(KINDS) - 1
+        if n[last]:
+            n[last] = 1 + sum(n[last] >= max(level, len(line) / words) for level, words in DENSE)
+        return tuple(min(x, LEVELS - 1) for x in n)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -151,7 +161,10 @@ def _one_of_copies(labelled: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(labelled: DataFrame, *, entries: int = ENTRIES) -> Grammar:
-    """A grammar without fitted weights, from rows (text, toxic): words and fronts of words that stand in at least one of 250 toxic texts, and SUSPECT_RATIO times as often as in others.
+    """A grammar without fitted weights, from rows (text, toxic).
+
+    Words and fronts of words count that stand in one of 250 toxic texts and INSULT_RATIO times as often as in others, or in
+    one of 50 and SUSPECT_RATIO times as often.
 
     Of copies one counts.
     """
@@ -164,7 +177,8 @@ def learn_lexicon(labelled: DataFrame, *, entries: int = ENTRIES) -> Grammar:
     rows = labelled.mapInArrow(_features, "feature string, toxic bigint, other bigint")
     rows = rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     rows = rows.withColumn("ratio", (F.col("toxic") / toxic) / ((F.col("other") + 0.5) / other))
-    rows = rows.where((F.col("toxic") >= least) & (F.col("ratio") >= SUSPECT_RATIO)).orderBy(F.desc("toxic"), "feature").limit(entries)
+    enough = (F.col("ratio") >= INSULT_RATIO) | (F.col("toxic") >= max(least, toxic / 50)) & (F.col("ratio") >= SUSPECT_RATIO)
+    rows = rows.where((F.col("toxic") >= least) & enough).orderBy(F.desc("toxic"), "feature").limit(entries)
     return sort_out({r["feature"]: (r["toxic"], r["ratio"]) for r in rows.collect()})
 
 

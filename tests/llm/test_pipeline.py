@@ -1,0 +1,94 @@
+import os
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline as p
+from cellweave.llm import decontaminate
+
+from .test_decontaminate import brute as contaminated
+from .test_passages import brute as passages
+from .test_simhash import brute as near
+from .test_simhash import fingerprint, roots
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs]
+    for _, stage in p.STAGES:
+        docs = p.keep(stage(spark, docs, SF), "stage")
+        out.append(docs)
+    return out
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.select("doc_id", "text").collect())
+
+
+def test_order():
+    assert [n.split()[0] for n, _ in p.STAGES] == ["quality", "simhash", "substring", "benchmark", "bpe"]
+
+
+def test_columns_stay(stages):
+    assert all(s.columns == stages[0].columns for s in stages[1:-1])
+
+
+def test_quality_keeps_the_good_and_drops_the_bad(spark, stages):
+    kept = {i for i, _ in rows(stages[1])}
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").collect()]
+    assert sum(i in kept for i, q in labels if q) / sum(q for _, q in labels) > 0.98
+    assert sum(i not in kept for i, q in labels if not q) / sum(not q for _, q in labels) > 0.95
+    assert set(rows(stages[1])) <= set(rows(stages[0]))
+
+
+def test_near_duplicates(stages):
+    before = rows(stages[1])
+    assert rows(stages[2]) == sorted(r for r, (i, _, c) in zip(before, near(before)) if i == c)
+
+
+def test_passages(stages):
+    before = rows(stages[2])
+    want = [(i, k if n else t) for (i, t), (_, _, n, k) in zip(before, passages(before))]
+    assert rows(stages[3]) == sorted(want)
+    assert all(r.n_chars == len(r.text) for r in stages[3].collect())
+
+
+def test_decontamination(spark, stages):
+    before = rows(stages[3])
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    gone = {r[0] for r in contaminated(before, items) if r[5]}
+    assert gone and rows(stages[4]) == [r for r in before if r[0] not in gone]
+
+
+def test_encoding(stages):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = dict(rows(stages[4]))
+    got = {r.doc_id: (r.n_tokens, r.ids) for r in stages[5].collect()}
+    assert got.keys() == texts.keys()
+    assert all(v == (len(v[1]), library.encode(texts[i], add_special_tokens=False).ids) for i, v in got.items())
+
+
+def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
+    before = rows_with_nulls(odd_docs)
+    fps = [fingerprint(t) for _, t in before]
+    root = roots(set(fps), lambda a, b: (a ^ b).bit_count() <= 2)
+    least: dict = {}
+    for (i, _), f in zip(before, fps):
+        least.setdefault(root[f], set()).add(i)
+    want = sorted(str(min(i - {None}, default=None)) for i in least.values())
+    left = rows_with_nulls(p.near_duplicates(spark, odd_docs, SF))
+    assert sorted(str(i) for i, _ in left) == want and set(left) <= set(before)
+    assert p.near_duplicates(spark, no_docs, SF).collect() == []
+
+
+def rows_with_nulls(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+def test_run(spark, stages):
+    assert sorted(map(tuple, p.run(spark, SF).select("doc_id", "n_tokens").collect())) == sorted(map(tuple, stages[-1].select("doc_id", "n_tokens").collect()))
+    assert os.path.exists(p.__file__) and decontaminate.SPAN == 13
