@@ -271,21 +271,31 @@ def test_request_and_response(places):
             from_request(places, bad)
 
 
+def plain_key(y, x, level):
+    bits = 0
+    for i in range(5 * level):
+        value = (x if i % 2 == 0 else y) + (1 << 31)
+        bits = bits << 1 | value >> (31 - i // 2) & 1
+    key = bits << 4 | level
+    return key - (1 << 64) if key >> 63 else key
+
+
 def test_keys_and_packing_go_back_and_forth(spark):
     rng = random.Random(4)
-    df = grid(spark, [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(300)] + [(90, 180), (-90, -180), (0, 0)])
-    y, x = g.quantise_lat(F.col("point.lat")), g.quantise_lon(F.col("point.lon"))
-    packed = g.pack(y, x)
-    wrong = df.where((g.unpack_lat(packed) != y) | (g.unpack_lon(packed) != x))
-    assert wrong.count() == 0
-    for level in (1, 4, 5, 8, 11, 12):
-        key = g.cell(y, x, level)
-        lat, lon = g.corner(key, level)
-        bits_lon, bits_lat = (5 * level + 1) // 2, 5 * level // 2
-        outside = df.where((g.degrees_lat(y) < lat) | (g.degrees_lat(y) >= lat + 180 / 2**bits_lat) | (g.degrees_lon(x) < lon) | (g.degrees_lon(x) >= lon + 360 / 2**bits_lon))
-        assert outside.count() == 0
-        assert df.where(g.cell(g.quantise_lat(lat), g.quantise_lon(lon), level) != key).count() == 0
-        assert g.with_cell(df.select(y.alias("y"), x.alias("x")), "y", "x", level, "k").where(F.col("k") != g.cell(F.col("y"), F.col("x"), level)).count() == 0
+    places = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(300)] + [(90.0, 180.0), (-90.0, -180.0), (0.0, 0.0)]
+    steps = spark.createDataFrame(places, "lat double, lon double").select(g.quantise_lat(F.col("lat")).alias("y"), g.quantise_lon(F.col("lon")).alias("x")).collect()
+    assert all(r.y == min(math.floor(a / g.LAT_STEP), (1 << 31) - 1) and r.x == min(math.floor(b / g.LON_STEP), (1 << 31) - 1) for r, (a, b) in zip(steps, places))
+    df = spark.createDataFrame(steps, "y long, x long")
+    packed = g.pack(F.col("y"), F.col("x"))
+    assert df.where((g.unpack_lat(packed) != F.col("y")) | (g.unpack_lon(packed) != F.col("x"))).count() == 0
+    for level in (0, 1, 4, 5, 8, 11, 12):
+        keys = [r.k for r in df.select(g.cell(F.col("y"), F.col("x"), level).alias("k")).collect()]
+        assert keys == [plain_key(r.y, r.x, level) for r in steps]
+        assert keys == [r.k for r in g.with_cell(df, "y", "x", level, "k").collect()]
+        lat, lon = g.corner(F.col("k"), level)
+        corners = spark.createDataFrame([(k,) for k in keys], "k long").select(lat.alias("lat"), lon.alias("lon"), g.geohash(F.col("k"), level).alias("text")).collect()
+        high, wide = 180 / 2 ** (5 * level // 2), 360 / 2 ** ((5 * level + 1) // 2)
+        assert all(c.lat <= r.y * g.LAT_STEP < c.lat + high and c.lon <= r.x * g.LON_STEP < c.lon + wide and len(c.text) == level for c, r in zip(corners, steps))
 
 
 def test_schema(places):
