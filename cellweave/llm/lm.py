@@ -32,6 +32,8 @@ from .shared import keep, path
 
 #: Distinct entries that a task adds up before it sends them.
 HELD = 1_500_000
+#: Bytes of text whose pairs a bucket gets at most, about.
+BUCKET_BYTES = 32 << 20
 #: Parts that a very common word's pairs are dealt into.
 SALT = 16
 _TABLE = byte_class(lower=True, alnum=False)
@@ -288,7 +290,9 @@ def train(docs: DataFrame, *, buckets: int | None = None) -> Model:
     spark = docs.sparkSession
     folder = path(spark, "language model")
     arrays.make_folder(folder)
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     vocabulary = count_words(docs, folder, buckets)
     if vocabulary.size >= _BEGIN:
         raise ValueError("more distinct words than 32-bit numbers")

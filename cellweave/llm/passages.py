@@ -41,6 +41,8 @@ SPAN = 13
 GRAM = 5
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 3 << 20
+#: Bytes of text that a task deals with at most, about; buckets are a quarter of that.
+PARTITION_BYTES = 64 << 20
 #: Windows in one automaton, about.
 AUTOMATON_WINDOWS = 150_000
 #: Anchors of more groups than this, and than an eighth of all, have their windows sent one by one.
@@ -283,8 +285,8 @@ def remove_repeated(docs: DataFrame, *, span: int = SPAN, k: int = GRAM, group_b
     docs has doc_id (a whole number) and text; columns of these three names are replaced.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     groups = max(1, -(-total // group_bytes))
     buckets = 4 * n
     common = max(COMMON_GROUPS, groups // 8)

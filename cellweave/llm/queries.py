@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm, passages, quality, sharding, simhash, toxicity, winnow
+from . import bpe, decontaminate, lm, passages, quality, sharding, simhash, sql, toxicity, winnow
 from .shared import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontamination": sql.DECONTAMINATION, "op4_substring_dedup": sql.SUBSTRING_DEDUP}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

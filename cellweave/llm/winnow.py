@@ -11,6 +11,8 @@ Likeness is the Jaccard index of the sets of kept hashes; two empty fingerprints
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +92,13 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     else:
         bounds, top = sorted({c for c in cuts[0]} - {cuts[1]}, reverse=True), cuts[1]
     # range p holds bounds[p - 1] >= ord > bounds[p]; the first row of range p is the one with ord = bounds[p - 1]
-    if bounds:
-        limits = F.array(*[F.lit(b) for b in bounds])
-        part = F.size(F.filter(limits, lambda b: b >= F.col("ord")))
+    if bounds:  # counted in two steps, so that a row looks at about 2 * sqrt(parts) limits
+        width = math.isqrt(len(bounds) - 1) + 1
+        groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+        reached = F.size(F.filter(F.lit([x[0] for x in groups]).cast("array<bigint>"), lambda b: b >= F.col("ord")))
+        inside = F.get(F.array(*[F.lit(x).cast("array<bigint>") for x in groups]), F.col("reached") - 1)
+        docs = docs.withColumn("reached", reached)
+        part = F.when(F.col("reached") == 0, 0).otherwise((F.col("reached") - 1) * width + F.size(F.filter(inside, lambda b: b >= F.col("ord"))))
     else:
         part = F.lit(0)
     docs = docs.withColumn("part", part)
@@ -100,7 +106,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     is_head = F.col("ord").isin(*heads) if top is not None else F.lit(False)
     before = F.pmod(F.col("part") - 1, F.lit(len(bounds) + 1))
     places = F.when(is_head, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guard")), F.struct(before.alias("part"), F.lit(True).alias("guard")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guard"))))
-    return docs.withColumn("place", F.explode(places)).withColumn("part", F.col("place.part")).withColumn("guard", F.col("place.guard")).drop("place")
+    return docs.withColumn("place", F.explode(places)).withColumn("part", F.col("place.part")).withColumn("guard", F.col("place.guard")).drop("place", "reached")
 
 
 def edited_fingerprints(docs: DataFrame, *, parts: int | None = None, piece: int = PIECE, k: int = K, window: int = WINDOW) -> DataFrame:
