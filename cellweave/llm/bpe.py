@@ -45,6 +45,44 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _spell(letters: dict[str, int], token: str) -> bytes:
+    return bytes(letters[c] for c in token)
+
+
+class Spelling:
+    """The bytes of each token: all that decoding needs."""
+
+    def __init__(self, by_id: dict[int, bytes]):
+        every = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.length = np.array([len(b) for b in every])
+        self.place = np.cumsum(self.length) - self.length
+        self.spelled = np.frombuffer(b"".join(every), np.uint8)
+
+    @classmethod
+    def read(cls, path: str) -> Spelling:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = _byte_letters()
+        return cls({i: _spell(letters, s) for s, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]})
+
+    def decode(self, rows: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids: the tokens' bytes, gathered by place."""
+        rows = rows.fill_null([]) if rows.null_count else rows
+        at = np.asarray(rows.offsets, np.int64)
+        ids = np.asarray(rows.values, np.int64)[at[0] : at[-1]]
+        n = self.length[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        data = self.spelled[np.repeat(self.place[ids] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = ends[at - at[0]]
+        try:
+            out = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # some bytes are no UTF-8
+            raw = data.tobytes()
+            out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.large_string())
+        return out.cast(pa.string())
+
+
 class ByteBPE:
     """One tokenizer file."""
 
@@ -59,7 +97,7 @@ class ByteBPE:
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
             raise ValueError(f"{path}: special tokens that take in their surroundings are not supported")
         letters = _byte_letters()
-        spell = lambda s: bytes(letters[c] for c in s)
+        spell = lambda s: _spell(letters, s)
         self.ids = {spell(s): i for s, i in model["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
@@ -71,9 +109,7 @@ class ByteBPE:
         self.apart: list[dict[int, bool]] = [{} for _ in range(max(self.bytes) + 1)]
         self._pairs = 0
         self._edges: tuple[dict, dict] = ({}, {})
-        self._length = np.array([len(self.bytes.get(i, b"")) for i in range(len(self.apart))])
-        self._place = np.cumsum(self._length) - self._length
-        self._spelled = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(self.apart))), np.uint8)
+        self.spelling = Spelling(self.bytes)
         self.known: dict[str, tuple[int, ...]] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self.lengths: dict[str, int] = {}
@@ -264,21 +300,7 @@ class ByteBPE:
         return pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(out))
 
     def decode_all(self, rows: pa.ListArray) -> pa.Array:
-        """Texts of lists of ids: the tokens' bytes, gathered by place."""
-        rows = rows.fill_null([]) if rows.null_count else rows
-        at = np.asarray(rows.offsets, np.int64)
-        ids = np.asarray(rows.values, np.int64)[at[0] : at[-1]]
-        n = self._length[ids]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        data = self._spelled[np.repeat(self._place[ids] - ends[:-1], n) + np.arange(ends[-1])]
-        offsets = ends[at - at[0]]
-        try:
-            out = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            out.validate(full=True)
-        except pa.ArrowInvalid:  # some bytes are no UTF-8
-            raw = data.tobytes()
-            out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.large_string())
-        return out.cast(pa.string())
+        return self.spelling.decode(rows)
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Joins the per-text frequencies of pre-tokens with the counts of the distinct pre-tokens, and sums."""
@@ -302,6 +324,16 @@ def load(path: str) -> ByteBPE:
     return _loaded[path]
 
 
+_spellings: dict[str, Spelling] = {}
+
+
+def spelling(path: str) -> Spelling:
+    """The spelling of the tokenizer at the path, read once in a process."""
+    if path not in _spellings:
+        _spellings[path] = Spelling.read(path)
+    return _spellings[path]
+
+
 def _add(df: DataFrame, text: str, name: str, kind: pa.DataType, spark_type: T.DataType, make) -> DataFrame:
     """df with one more column (replacing one of that name), made from blocks of rows by make(block)."""
     keep = [c for c in df.columns if c != name]
@@ -331,7 +363,7 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: st
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, load(tokenizer_path).decode_all(part.column(part.schema.get_field_index(ids)))], names=[*keep, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, spelling(tokenizer_path).decode(part.column(part.schema.get_field_index(ids)))], names=[*keep, text])
 
     return source.mapInArrow(run, schema)
 
