@@ -291,7 +291,7 @@ def remove_repeated(docs: DataFrame, *, span: int = SPAN, k: int = GRAM, group_b
     buckets = 4 * n
     common = max(COMMON_GROUPS, groups // 8)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    dealt = docs.select(*[F.col(f"`{c}`") for c in columns], F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias(_G)).repartition(n, _G)
+    dealt = docs.select(*[F.col(f"`{c}`") for c in columns], F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias(_G)).repartition(n, _G)
     anchors = dealt.groupBy(_G).applyInArrow(lambda t: _anchors(t, span, k, buckets), f"{_B} int, {_G} bigint, anchors binary, many binary")
     recurring = anchors.groupBy(_B).applyInArrow(lambda t: _recurring(t, common), f"{_G} bigint, anchors binary, wide binary")
     phrases = dealt.groupBy(_G).cogroup(recurring.groupBy(_G)).applyInArrow(lambda t, a: _phrases(t, a, span, k, buckets), f"{_B} int, {_G} bigint, key binary, phrases binary, windows binary, first binary, many binary, times binary, docs binary, starts binary")

@@ -56,7 +56,7 @@ def assign(df: DataFrame, weights: Sequence[float], *, key: str = "doc_id", text
         grown.alias("grown_shard"),
     )
     chunks = max(1, -(-df.count() // (chunk_rows * len(weights))))
-    chunk = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("chunk")), F.lit(chunks))
+    chunk = F.pmod(F.xxhash64(F.col("k").cast("string"), "text_crc32", "size"), F.lit(chunks))
     rows = rows.withColumn("chunk", chunk.cast("int"))
     before = rows.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = before.select(F.col("shard").alias("s"), F.col("chunk").alias("c"), (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("before"))
