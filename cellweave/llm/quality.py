@@ -155,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, sample: i
     return Model(ratios.tobytes(), seed)
 
 
-def _with_weight(source: DataFrame, model: Model) -> DataFrame:
-    """source with log_weight."""
+def _with_weight(source: DataFrame, model: Model, name: str = WEIGHT) -> DataFrame:
+    """source with the log weight."""
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +165,9 @@ def _with_weight(source: DataFrame, model: Model) -> DataFrame:
             for block in cut(batch):
                 bucket, text = features(block, model.buckets)
                 weight = np.bincount(text, weights=ratios[bucket], minlength=len(block)) if len(text) else np.zeros(len(block))
-                yield pa.RecordBatch.from_arrays([*block.batch.columns, pa.array(weight)], names=[*names, WEIGHT])
+                yield pa.RecordBatch.from_arrays([*block.batch.columns, pa.array(weight)], names=[*names, name])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(WEIGHT, T.DoubleType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def key(model: Model, doc_id: Column, weight: Column) -> Column:
@@ -231,5 +231,6 @@ def choose(docs: DataFrame, labels: DataFrame, *, k: int | None = None, buckets:
 
 def resample(docs: DataFrame, model: Model) -> DataFrame:
     """The selected rows of docs, with its columns."""
-    weighted = _with_weight(docs, model)
-    return weighted.where(key(model, F.col("doc_id"), F.col(WEIGHT)) >= model.least).drop(WEIGHT)
+    name = "__log_weight"
+    weighted = _with_weight(docs, model, name)
+    return weighted.where(key(model, F.col("doc_id"), F.col(name)) >= model.least).drop(name)

@@ -40,6 +40,7 @@ def test_odd_tables(spark, odd_docs, no_docs):
     for known in (labels, none):
         model, weighted = q.choose(odd_docs, known)
         assert weighted.count() == odd_docs.count()
+        odd_docs = odd_docs.withColumn("log_weight", q.F.lit("x"))
         out = q.resample(odd_docs, model)
         assert out.columns == odd_docs.columns and out.count() == weighted.where(q.F.col("key") >= model.least).count()
         model, weighted = q.choose(no_docs, known)
