@@ -14,10 +14,6 @@ import numpy as np
 
 from ..functions.geohash import EARTH_RADIUS_METRES
 
-#: Cells whose distances are computed at a time.
-STRIDE = 512
-
-
 def _distance(lat1: float, lon1: float, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
     a, b = np.sin(np.radians(lat2 - lat1) / 2), np.sin(np.radians(lon2 - lon1) / 2)
     h = a * a + math.cos(math.radians(lat1)) * np.cos(np.radians(lat2)) * b * b
@@ -28,43 +24,46 @@ def _reach(radius: float, lat1: float, lat2: np.ndarray) -> np.ndarray:
     return radius * np.cos(np.radians((lat1 + lat2) / 2))
 
 
+def _joined(n: int, lat: float, lon: float, k: int, y: float, x: float) -> tuple[int, float, float]:
+    return n + k, (lat * n + y * k) / (n + k), (lon * n + x * k) / (n + k)
+
+
 def merge_cells(count: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius: float, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Cluster of each cell (numbered in order of their founders), and each cluster's count and centroid.  Cells are in falling order of key."""
     n = len(count)
     cluster = np.full(n, -1, np.int64)
     out: list[tuple[int, float, float]] = []
-    left = np.arange(n)
-    while len(left):
-        seed, rest = int(left[0]), left[1:]
+    # a distance is at least that of the latitudes, so only a band around the centroid can matter
+    north = np.argsort(lat, kind="stable")
+    lat_north = lat[north]
+    band = math.degrees(radius * max(1.0, ratio) / EARTH_RADIUS_METRES) * (1 + 1e-9) + 1e-9
+    for seed in range(n):
+        if cluster[seed] >= 0:
+            continue
         mine = len(out)
         cluster[seed] = mine
         c_n, c_lat, c_lon = int(count[seed]), float(lat[seed]), float(lon[seed])
-
-        def join(i: int) -> None:
-            nonlocal c_n, c_lat, c_lon
-            cluster[i] = mine  # noqa: B023
-            k = int(count[i])
-            c_lat = (c_lat * c_n + float(lat[i]) * k) / (c_n + k)
-            c_lon = (c_lon * c_n + float(lon[i]) * k) / (c_n + k)
-            c_n += k
-
         edge: list[int] = []
-        at = 0
-        while at < len(rest):
-            look = rest[at : at + STRIDE]
+        after, joined = seed, True
+        while joined:
+            a, b = np.searchsorted(lat_north, (c_lat - band, c_lat + band))
+            look = north[a : b + 1]
+            look = np.sort(look[(look > after) & (cluster[look] < 0)])
             d, r = _distance(c_lat, c_lon, lat[look], lon[look]), _reach(radius, c_lat, lat[look])
             near = d <= r
-            hit = int(near.argmax()) if near.any() else len(look)
+            joined = bool(near.any())
+            hit = int(near.argmax()) if joined else len(look)
             if ratio > 0:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     edge.extend(look[:hit][(d[:hit] / r[:hit]) < ratio].tolist())
-            if hit < len(look):
-                join(int(look[hit]))
-            at += hit + 1 if hit < len(look) else len(look)
+            if joined:
+                after = int(look[hit])
+                cluster[after] = mine
+                c_n, c_lat, c_lon = _joined(c_n, c_lat, c_lon, int(count[after]), float(lat[after]), float(lon[after]))
         for i in edge:
             if _distance(c_lat, c_lon, lat[i : i + 1], lon[i : i + 1])[0] <= _reach(radius, c_lat, lat[i : i + 1])[0]:
-                join(i)
+                cluster[i] = mine
+                c_n, c_lat, c_lon = _joined(c_n, c_lat, c_lon, int(count[i]), float(lat[i]), float(lon[i]))
         out.append((c_n, c_lat, c_lon))
-        left = rest[cluster[rest] < 0]
     total, y, x = (np.array([o[i] for o in out], t) for i, t in ((0, np.int64), (1, float), (2, float)))
     return cluster, total, y, x

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import geohash as g
 from cellweave.operators.clustering import from_request, geo_point_clustering
-from cellweave.operators.merge import STRIDE, merge_cells
+from cellweave.operators.merge import merge_cells
 from cellweave.plans.params import ClusterParams
 from cellweave.sources.points import POINT, bounding_box
 from cellweave.sources.response import to_response, with_json
@@ -144,7 +144,7 @@ def slow_merge(cells, radius, ratio):
     return out
 
 
-@pytest.mark.parametrize("seed,n,radius,ratio", [(1, 60, 8e5, 0), (2, 200, 3e5, 1.5), (3, STRIDE * 2 + 7, 2e5, 2), (4, 50, 1e7, 1.2), (5, 1, 1, 0), (6, 80, 5e5, -1)])
+@pytest.mark.parametrize("seed,n,radius,ratio", [(1, 60, 8e5, 0), (2, 200, 3e5, 1.5), (3, 1031, 2e5, 2), (7, 700, 2e6, 1.3), (4, 50, 1e7, 1.2), (5, 1, 1, 0), (6, 80, 5e5, -1)])
 def test_merge_matches_the_plain_one(seed, n, radius, ratio):
     rng = random.Random(seed)
     cells = [(n - i, rng.randrange(1, 50), rng.uniform(-70, 70), rng.uniform(-179, 179)) for i in range(n)]
