@@ -6,12 +6,19 @@ its own), and a block is tokenised and hashed with NumPy over its UTF-8 bytes, n
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 #: UTF-8 bytes of text in one block.
 BLOCK_BYTES = 1 << 20
 
@@ -184,6 +191,13 @@ def _raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return content, offsets - offsets[0]
 
 
+def _release() -> None:
+    """Gives memory that a batch has left behind back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def cut(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of the batch, each of at most `most` bytes of text or of a single longer text."""
     data, offsets = _raw(batch.column(batch.schema.get_field_index(text)))
@@ -193,6 +207,7 @@ def cut(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> I
         stop = min(stop, n, row + 16384)
         yield Block(batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
         row = stop
+    _release()
 
 
 def per_block(f: Callable[[Block], dict], schema: pa.Schema, text: str = "text") -> Callable:
