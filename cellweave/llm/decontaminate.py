@@ -147,10 +147,10 @@ def _sum_by_text(first: np.ndarray, hit: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = GRAM, part_windows: int = PART_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = GRAM, part_windows: int = PART_WINDOWS, keep_text: bool = True) -> DataFrame:
     """docs (doc_id, text, others) with n_words, n_hit (words in a window that occurs in the benchmark) and items (ids, sorted as strings).
 
-    benchmark has item_id and text.  Columns of docs with the three names are replaced.
+    benchmark has item_id and text.  Columns of docs with the three names are replaced.  Without keep_text the text is left out.
     """
     if not 1 <= k <= span:
         raise ValueError("k must be from 1 to span")
@@ -165,6 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
         return docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows.toLocalIterator()], k))
 
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
+    shown = [c for c in columns if keep_text or c != "text"]
     if parts == 1:
         index = index_of(0)
 
@@ -173,9 +174,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
                 for block in cut(batch):
                     first, hit, items = _hits(block, index.value)
                     lists = [[index.value.ids[i] for i in x] for x in items]
-                    yield pa.RecordBatch.from_arrays([*block.batch.columns, pa.array(np.diff(first)), pa.array(_sum_by_text(first, hit)), pa.array(lists, pa.list_(pa.string()))], names=[*columns, "n_words", "n_hit", "items"])
+                    yield pa.RecordBatch.from_arrays([*map(block.column, shown), pa.array(np.diff(first)), pa.array(_sum_by_text(first, hit)), pa.array(lists, pa.list_(pa.string()))], names=[*shown, "n_words", "n_hit", "items"])
 
-        return source.mapInArrow(judge, T.StructType([*source.schema.fields, *more]))
+        return source.mapInArrow(judge, T.StructType([*(source.schema[c] for c in shown), *more]))
 
     kind = source.schema["doc_id"].dataType.simpleString()
     keyed = source.select("doc_id", "text", F.xxhash64("text").alias("__key"))
@@ -213,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
 
     counted = source.mapInArrow(count, T.StructType([*source.schema.fields, more[0]]))
     joined = counted.join(united.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("hits").alias("__hits"), F.col("found").alias("__found")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in columns], "n_words", F.coalesce("__hits", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("__found", F.array().cast("array<string>")).alias("items"))
+    return joined.select(*[F.col(f"`{c}`") for c in shown], "n_words", F.coalesce("__hits", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("__found", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated() -> Column:

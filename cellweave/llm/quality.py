@@ -155,9 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, sample: i
     return Model(ratios.tobytes(), seed)
 
 
-def _with_weight(source: DataFrame, model: Model, name: str = WEIGHT) -> DataFrame:
-    """source with the log weight."""
-    names = source.columns
+def _with_weight(source: DataFrame, model: Model, name: str = WEIGHT, *, without: tuple[str, ...] = ()) -> DataFrame:
+    """source with the log weight, and without some of its columns, which then needn't leave Python."""
+    names = [c for c in source.columns if c not in without]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = model.log_ratios()
@@ -165,9 +165,9 @@ def _with_weight(source: DataFrame, model: Model, name: str = WEIGHT) -> DataFra
             for block in cut(batch):
                 bucket, text = features(block, model.buckets)
                 weight = np.bincount(text, weights=ratios[bucket], minlength=len(block)) if len(text) else np.zeros(len(block))
-                yield pa.RecordBatch.from_arrays([*block.batch.columns, pa.array(weight)], names=[*names, name])
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(weight)], names=[*names, name])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(name, T.DoubleType())]))
+    return source.mapInArrow(run, T.StructType([*(source.schema[c] for c in names), T.StructField(name, T.DoubleType())]))
 
 
 def key(model: Model, doc_id: Column, weight: Column) -> Column:
@@ -179,7 +179,7 @@ def key(model: Model, doc_id: Column, weight: Column) -> Column:
 
 def weights(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, log_weight, key) of each row."""
-    out = _with_weight(docs.select("doc_id", "text"), model).drop("text")
+    out = _with_weight(docs.select("doc_id", "text"), model, without=("text",))
     return out.withColumn("key", key(model, F.col("doc_id"), F.col(WEIGHT)))
 
 
