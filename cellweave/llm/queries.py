@@ -68,7 +68,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = winnow.edited_fingerprints(table(spark, sf_dir, "documents"), overlap=True)
     digest = lambda name: F.sha2(winnow.rendered(F.col(name)), 256).alias(name)
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("fingerprint"), digest("edited_fingerprint"), "near_edited", "near_next", F.size("fingerprint").alias("n_kept"))
 

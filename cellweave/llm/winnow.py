@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-A text is cut into pieces: runs of at most `piece` code points without white space.  Each `k` pieces in a row have a rolling
+A text is cut into pieces: runs of at most `piece` code points without white space.  With `overlap`, pieces of a longer run
+start at each of its code points, so that what two runs share is found wherever it stands in them.  Each `k` pieces in a row have a rolling
 (polynomial) hash of 32 bits, and of each `window` such hashes in a row the least is kept, the rightmost of equals, with its
 position.  Two texts that share window + k - 1 pieces in a row share a kept hash.  A text of fewer pieces than k has one hash
 of all its pieces; of fewer hashes than a window, the least of them is kept; an empty one (or null, or all white space) has
@@ -26,8 +27,10 @@ _BASE = 1_000_003
 _LAST = (1 << 31) - 1
 
 
-def piece_hashes(text: Column, piece: int = PIECE) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"\S{{1,{piece}}}"), F.lit(0)), lambda s: F.pmod(F.xxhash64(s), F.lit(_P)))
+def piece_hashes(text: Column, piece: int = PIECE, overlap: bool = False) -> Column:
+    short = rf"|(?<!\S)\S{{1,{piece - 1}}}(?!\S)" if piece > 1 else ""
+    pattern, group = (rf"(?=(\S{{{piece}}}{short}))\S", 1) if overlap else (rf"\S{{1,{piece}}}", 0)
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda s: F.pmod(F.xxhash64(s), F.lit(_P)))
 
 
 def gram_hashes(pieces: Column, k: int = K) -> Column:
@@ -57,10 +60,10 @@ def kept(grams: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(grams) == 0, grams).when(F.size(grams) < window, F.array(F.array_min(grams))).otherwise(F.array_distinct(every))
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, *, piece: int = PIECE, k: int = K, window: int = WINDOW) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, *, piece: int = PIECE, k: int = K, window: int = WINDOW, overlap: bool = False) -> DataFrame:
     """df with `name`, the packed fingerprint of the text: hash * 2^31 + 2^31 - 1 - position."""
     part = lambda s: f"__{name}_{s}"
-    df = df.withColumn(part("p"), piece_hashes(F.coalesce(F.col(text), F.lit("")), piece))
+    df = df.withColumn(part("p"), piece_hashes(F.coalesce(F.col(text), F.lit("")), piece, overlap))
     df = df.withColumn(part("g"), gram_hashes(F.col(part("p")), k))
     return df.withColumn(name, kept(F.col(part("g")), window)).drop(part("p"), part("g"))
 
@@ -109,7 +112,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     return docs.withColumn("place", F.explode(places)).withColumn("part", F.col("place.part")).withColumn("guard", F.col("place.guard")).drop("place", "reached")
 
 
-def edited_fingerprints(docs: DataFrame, *, parts: int | None = None, piece: int = PIECE, k: int = K, window: int = WINDOW) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, *, parts: int | None = None, piece: int = PIECE, k: int = K, window: int = WINDOW, overlap: bool = False) -> DataFrame:
     """Fingerprints (packed) of each row's text and of its edited text, and how near its own is to that and to the next row's.
 
     Edited: the last n_chars / 2 code points (rounded down) give way to as many of the next row's first, or all.  The next
@@ -121,12 +124,12 @@ def edited_fingerprints(docs: DataFrame, *, parts: int | None = None, piece: int
     parts = parts or 4 * n
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = _dealt(source, parts).repartition(n, "part").sortWithinPartitions("part", "guard", F.desc("ord"), "text")
-    marked = with_fingerprint(dealt, "text", "own", piece=piece, k=k, window=window)
+    marked = with_fingerprint(dealt, "text", "own", piece=piece, k=k, window=window, overlap=overlap)
     ahead = Window.partitionBy("part").orderBy("guard", F.desc("ord"), "text")
     size = F.char_length("text")
     both = marked.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_own", F.lead("own").over(ahead)).where("not guard")
     both = both.withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 2) as int))")))
-    both = with_fingerprint(both, "edited", "changed", piece=piece, k=k, window=window)
+    both = with_fingerprint(both, "edited", "changed", piece=piece, k=k, window=window, overlap=overlap)
     both = both.withColumn("h_own", hashes(F.col("own"))).withColumn("h_changed", hashes(F.col("changed"))).withColumn("h_next", hashes(F.col("next_own")))
     return both.select(
         "doc_id",
