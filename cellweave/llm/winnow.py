@@ -1,12 +1,15 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-A text is cut into pieces: runs of at most `piece` code points without white space.  With `overlap`, pieces of a longer run
-start at each of its code points, so that what two runs share is found wherever it stands in them.  Each `k` pieces in a row have a rolling
-(polynomial) hash of 32 bits, and of each `window` such hashes in a row the least is kept, the rightmost of equals, with its
+A text is cut into pieces: runs of at most `piece` code points without white space, end to end.  With `overlap`, pieces start at
+each code point of a run as long as that many more follow in it, so that what two long runs (texts without spaces) share is found
+wherever it stands in them; words, which are shorter, are cut from their own starts and need no more than that.  With an overlap
+of `piece` (or True) all pieces of all runs overlap.  Each `k` pieces in a row have a rolling (polynomial) hash of 32 bits, and of each `window` such hashes in a row the least is kept, the rightmost of equals, with its
 position.  Two texts that share window + k - 1 pieces in a row share a kept hash.  A text of fewer pieces than k has one hash
 of all its pieces; of fewer hashes than a window, the least of them is kept; an empty one (or null, or all white space) has
 an empty fingerprint.
 
+Ties between equal texts or ids are broken by the text; very long texts are fingerprinted whole; of extra columns none is read.
+
 Likeness is the Jaccard index of the sets of kept hashes; two empty fingerprints are alike, an empty and another are not.
 """
 
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 PIECE = 4
 K = 3
 WINDOW = 8
+#: Code points that follow in a run where pieces overlap: more than a word has, so only text without spaces is concerned.
+LONG_RUN = 16
 #: Modulus and base of the rolling hash: products stay below 2^63.
 _P = (1 << 31) - 1
 _BASE = 1_000_003
@@ -27,10 +32,11 @@ _BASE = 1_000_003
 _LAST = (1 << 31) - 1
 
 
-def piece_hashes(text: Column, piece: int = PIECE, overlap: bool = False) -> Column:
-    short = rf"|(?<!\S)\S{{1,{piece - 1}}}(?!\S)" if piece > 1 else ""
-    pattern, group = (rf"(?=(\S{{{piece}}}{short}))\S", 1) if overlap else (rf"\S{{1,{piece}}}", 0)
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda s: F.pmod(F.xxhash64(s), F.lit(_P)))
+def piece_hashes(text: Column, piece: int = PIECE, overlap: int = 0) -> Column:
+    if overlap is True:
+        overlap = piece
+    pattern = rf"(?=(\S{{1,{piece}}}))(?:\S(?=\S{{{overlap}}})|\S{{1,{piece}}})" if overlap else rf"(\S{{1,{piece}}})"
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.pmod(F.xxhash64(s), F.lit(_P)))
 
 
 def gram_hashes(pieces: Column, k: int = K) -> Column:
@@ -60,7 +66,7 @@ def kept(grams: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(grams) == 0, grams).when(F.size(grams) < window, F.array(F.array_min(grams))).otherwise(F.array_distinct(every))
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, *, piece: int = PIECE, k: int = K, window: int = WINDOW, overlap: bool = False) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, *, piece: int = PIECE, k: int = K, window: int = WINDOW, overlap: int = 0) -> DataFrame:
     """df with `name`, the packed fingerprint of the text: hash * 2^31 + 2^31 - 1 - position."""
     part = lambda s: f"__{name}_{s}"
     df = df.withColumn(part("p"), piece_hashes(F.coalesce(F.col(text), F.lit("")), piece, overlap))
@@ -112,7 +118,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     return docs.withColumn("place", F.explode(places)).withColumn("part", F.col("place.part")).withColumn("guard", F.col("place.guard")).drop("place", "reached")
 
 
-def edited_fingerprints(docs: DataFrame, *, parts: int | None = None, piece: int = PIECE, k: int = K, window: int = WINDOW, overlap: bool = False) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, *, parts: int | None = None, piece: int = PIECE, k: int = K, window: int = WINDOW, overlap: int = 0) -> DataFrame:
     """Fingerprints (packed) of each row's text and of its edited text, and how near its own is to that and to the next row's.
 
     Edited: the last n_chars / 2 code points (rounded down) give way to as many of the next row's first, or all.  The next
