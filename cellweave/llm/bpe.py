@@ -9,30 +9,42 @@ only its last token.  The distinct pre-tokens of a block go into a trie (sorted
 holds the path), last tokens are passed down, and what words share at their front is computed once.  Each distinct
 pre-token is then read off its chain of last tokens.
 
-Cases: null texts count as empty; an empty text has no ids; long texts are handled whole; repeated rows give repeated rows.
+Counting makes no ids.  Tasks pack their documents' frequencies of pre-tokens by buckets of pre-tokens; a bucket has all of its
+pre-tokens from all documents, measures each distinct one once in one trie, joins the counts to the frequencies, and sends
+back what they add up to in each document, where the buckets' sums are added.
+
+Cases: null texts count as empty; an empty text has no ids; long texts are handled whole; repeated rows give repeated rows;
+extra columns stay, and those called like a new one are replaced.
 """
 
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import accumulate, chain
+from itertools import count as numbers_from
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import cut
+from .blocks import Block, cut
 
 #: Distinct pre-tokens, and pairs of tokens, that a worker remembers from block to block.
 REMEMBERED = 150_000
 REMEMBERED_PAIRS = 1_000_000
 #: Bytes of text whose distinct pre-tokens share a trie.
 BLOCK = 4 << 20
+#: Bytes of text whose frequencies of pre-tokens a task packs at a time, and bytes of text for a bucket of pre-tokens, about.
+PACK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 
 
 _NEVER = (1 << 60, -1)
@@ -49,6 +61,10 @@ def _spell(letters: dict[str, int], token: str) -> bytes:
     return bytes(letters[c] for c in token)
 
 
+#: The usual pattern of byte-level BPE, for texts whose characters `re` classes as the library does.
+_QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
 class Spelling:
     """The bytes of each token: all that decoding needs."""
 
@@ -84,9 +100,9 @@ class Spelling:
 
 
 class ByteBPE:
-    """One tokenizer file."""
+    """One tokenizer file.  whole: bits that tell which tokens BPE makes of their own bytes, as whole_tokens() has them; without, they are found out here."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: bytes | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -105,21 +121,29 @@ class ByteBPE:
         self.rank = {(self.ids[spell(a)], self.ids[spell(b)]): (r, self.ids[spell(a + b)]) for r, (a, b) in enumerate(pairs)}
         self.made_of = {made: (r, a, b) for (a, b), (r, made) in self.rank.items()}
         self.longest = max(map(len, self.ids))
-        self.whole = {b: i for b, i in self.ids.items() if self.merge(b) == [i]}
+        if whole is None:
+            self.whole = {b: i for b, i in self.ids.items() if self.merge(b) == [i]}
+        else:
+            bits = np.unpackbits(np.frombuffer(whole, np.uint8))
+            self.whole = {b: i for b, i in self.ids.items() if bits[i]}
         self.apart: list[dict[int, bool]] = [{} for _ in range(max(self.bytes) + 1)]
         self._pairs = 0
         self._edges: tuple[dict, dict] = ({}, {})
         self.spelling = Spelling(self.bytes)
         self.known: dict[str, tuple[int, ...]] = {}
         self._known: dict[str, tuple[int, ...]] = {}
-        self.lengths: dict[str, int] = {}
-        self._lengths: dict[str, int] = {}
         self._split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._library = Tokenizer.from_file(path).pre_tokenizer
         self._seen = {chr(c) for c in range(128)}
         self._odd: dict[str, set[str]] = {"L": set(), "N": set(), "S": set(), "P": set()}
+        self._slow: set[str] = set()
         self._compile()
 
+    def whole_tokens(self) -> bytes:
+        bits = np.zeros(max(self.bytes) + 1, np.uint8)
+        bits[list(self.whole.values())] = 1
+        return np.packbits(bits).tobytes()
+
     # -- pre-tokens
 
     def _compile(self) -> None:
@@ -136,11 +160,12 @@ class ByteBPE:
         solid = rf"(?:{letter}|{number}|{other})" if every else r"\S"
         self._pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|{space}+(?!{solid})|{space}+")
 
-    def _classes(self, text: str) -> None:
-        """Compares the classes of characters not seen before with the library's own."""
-        new = set(text) - self._seen
+    def _classes(self, text: str) -> re.Pattern:
+        """The pattern for a text.  Compares the classes of characters not seen before with the library's own; where all are as `re` has them, its faster pattern will do."""
+        letters = set(text)
+        new = letters - self._seen
         if not new:
-            return
+            return self._pieces if self._slow and not letters.isdisjoint(self._slow) else _QUICK
         changed = False
         for c in new:
             mine = "L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "S" if regex.match(r"\s", c) else "P"
@@ -149,21 +174,24 @@ class ByteBPE:
             if mine != theirs:
                 self._odd[theirs].add(c)
                 changed = True
+            if theirs != ("L" if re.match(r"[^\W\d_]", c) else "N" if re.match(r"\d", c) else "S" if re.match(r"\s", c) else "P"):
+                self._slow.add(c)
         self._seen |= new
         if changed:
             self._compile()
+        return self._classes(text)
 
     def parts(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         """Pre-tokens of each stretch, and the id of the special token after it, if any."""
-        self._classes(text)
+        pieces = self._classes(text).findall
         if self._split is None:
-            yield self._pieces.findall(text), None
+            yield pieces(text), None
             return
         at = 0
         for m in self._split.finditer(text):
-            yield self._pieces.findall(text[at : m.start()]), self.special[m[0]]
+            yield pieces(text[at : m.start()]), self.special[m[0]]
             at = m.end()
-        yield self._pieces.findall(text[at:] if at else text), None
+        yield pieces(text[at:] if at else text), None
 
     # -- the trie
 
@@ -251,21 +279,21 @@ class ByteBPE:
             self.known[by_bytes[word]] = tuple(reversed(ids))
         return self.known
 
-    def measure(self, pieces: set[str]) -> dict[str, int]:
-        """Token counts of the pre-tokens; no ids are made."""
-        self.lengths, self._lengths, new = self._recall(self.lengths, self._lengths, pieces)
-        by_bytes = {p.encode(): p for p in new}
-        for word, _, start in self.walk(list(by_bytes)):
+    def measure(self, pieces: list[str]) -> np.ndarray:
+        """Token counts of these distinct pre-tokens; no ids are made."""
+        place = {p.encode(): i for i, p in enumerate(pieces)}
+        out = np.zeros(len(pieces), np.int64)
+        for word, _, start in self.walk(list(place)):
             n, i = 0, len(word)
             while i:
                 n += 1
                 i = start[i]
-            self.lengths[by_bytes[word]] = n
-        return self.lengths
+            out[place[word]] = n
+        return out
 
     def numbered(self, texts: list[str]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
         """Distinct pre-tokens, and each text as their numbers; a special token is numbered -1 - id."""
-        number: defaultdict[str, int] = defaultdict(count().__next__)
+        number: defaultdict[str, int] = defaultdict(numbers_from().__next__)
         rows = []
         for text in texts:
             line: list[int] = []
@@ -302,25 +330,37 @@ class ByteBPE:
     def decode_all(self, rows: pa.ListArray) -> pa.Array:
         return self.spelling.decode(rows)
 
+    def frequencies(self, texts: list[str], number: dict[str, int]) -> tuple[list[int], list[int], list[int], list[int]]:
+        """(numbers of the distinct pre-tokens of each text, one text after the other; how often each stands there; how many each text has; its special tokens)."""
+        piece, times, distinct, special = [], [], [], []
+        for text in texts:
+            found: Counter[str] = Counter()
+            n = 0
+            for pieces, token in self.parts(text):
+                found.update(pieces)
+                n += token is not None
+            piece.extend(map(number.__getitem__, found))
+            times.extend(found.values())
+            distinct.append(len(found))
+            special.append(n)
+        return piece, times, distinct, special
+
     def count_all(self, texts: list[str]) -> list[int]:
-        """Joins the per-text frequencies of pre-tokens with the counts of the distinct pre-tokens, and sums."""
-        pieces, rows, _ = self.numbered(texts)
-        lengths = self.measure(set(pieces))
-        size = np.fromiter((lengths[p] for p in pieces), np.int64, len(pieces))
-        out = []
-        for row in rows:
-            piece, frequency = np.unique(row[row >= 0], return_counts=True)
-            out.append(int(size[piece] @ frequency) + int((row < 0).sum()))
-        return out
+        """Token counts of texts, in memory."""
+        number: defaultdict[str, int] = defaultdict(numbers_from().__next__)
+        piece, times, distinct, special = self.frequencies(texts, number)
+        n = self.measure(list(number))[np.array(piece, np.int64)] * np.array(times, np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(distinct)]).astype(np.int64)]
+        return (np.diff(ends) + special).astype(np.int64).tolist()
 
 
 _loaded: dict[str, ByteBPE] = {}
 
 
-def load(path: str) -> ByteBPE:
+def load(path: str, whole: bytes | None = None) -> ByteBPE:
     """The tokenizer at the path, read once in a process."""
     if path not in _loaded:
-        _loaded[path] = ByteBPE(path)
+        _loaded[path] = ByteBPE(path, whole)
     return _loaded[path]
 
 
@@ -350,7 +390,8 @@ def _add(df: DataFrame, text: str, name: str, kind: pa.DataType, spark_type: T.D
 
 def bpe_encode(df: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with `ids`, an array of the text's token ids.  A column of that name is replaced."""
-    return _add(df, text, ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()), lambda b: load(tokenizer_path).encode_all([t.decode() for t in b.texts()]))
+    whole = load(tokenizer_path).whole_tokens()  # found out once, for all workers
+    return _add(df, text, ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()), lambda b: load(tokenizer_path, whole).encode_all([t.decode() for t in b.texts()]))
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -368,10 +409,117 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: st
     return source.mapInArrow(run, schema)
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, *, text: str = "text", count: str = "n_tokens") -> DataFrame:
-    """df with `count`, the number of tokens of the text.
-
-    The pre-tokens of a block are counted once each (those seen lately not again) and joined to the frequencies of its
-    documents inside the task: nothing is shuffled, and no ids are made.
+class _Pack:
+    """Frequencies of pre-tokens of some documents, by bucket of pre-tokens."""
+
+    def __init__(self, tokenizer: ByteBPE, name: str):
+        self.tokenizer, self.name = tokenizer, name
+        self.number: defaultdict[str, int] = defaultdict(numbers_from().__next__)
+        self.rows: list[pa.RecordBatch] = []
+        self.parts: tuple[list[np.ndarray], ...] = ([], [], [], [])
+        self.bytes = 0
+
+    def add(self, block: Block, rows: pa.RecordBatch) -> None:
+        found = self.tokenizer.frequencies([t.decode() for t in block.texts()], self.number)
+        for part, values in zip(self.parts, found):
+            part.append(np.array(values, np.uint32))
+        self.rows.append(rows)
+        self.bytes += len(block.data)
+
+    def send(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket, and one with the rows of the documents and their special tokens."""
+        piece, times, distinct, special = map(np.concatenate, self.parts)
+        doc = np.repeat(np.arange(len(distinct), dtype=np.uint32), distinct)
+        pieces = list(self.number)
+        digest = xxhash.xxh32_intdigest
+        bucket = np.fromiter((digest(p) for p in pieces), np.int64, len(pieces)) % buckets
+        by_bucket = np.argsort(bucket, kind="stable")
+        place = np.empty(len(pieces), np.int64)
+        place[by_bucket] = np.arange(len(pieces))
+        of = place[piece]
+        order = np.argsort(of, kind="stable")
+        doc, times = doc[order], times[order]
+        stand = np.bincount(of, minlength=len(pieces)).astype(np.uint32)
+        ends = np.concatenate([[0], np.cumsum(stand, dtype=np.int64)])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        cuts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1)).tolist()
+        out = []
+        for a, z in zip(cuts, [*cuts[1:], len(pieces)]):
+            spelled = [pieces[i] for i in by_bucket[a:z].tolist()]
+            within = slice(ends[a], ends[z])
+            sizes = np.fromiter(map(len, spelled), np.uint32, len(spelled))
+            out.append((int(bucket[by_bucket[a]]), self.name, pack("".join(spelled).encode()), pack(np.concatenate([[len(spelled)], sizes, stand[a:z], doc[within], times[within]]).astype(np.uint32).tobytes()), None))
+        rest = pa.Table.from_batches(self.rows).append_column("special", pa.array(special.astype(np.int64)))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest.schema) as stream:
+            stream.write_table(rest)
+        out.append((digest(self.name) % buckets, self.name, None, None, sink.getvalue().to_pybytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), *[pa.binary()] * 3))], names=["bucket", "pack", "pieces", "numbers", "rest"])
+
+
+def _summed(table: pa.Table, tokenizer: ByteBPE) -> pa.Table:
+    """Of a bucket: each distinct pre-token measured once, joined to the frequencies, and added up for each document."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    number: defaultdict[str, int] = defaultdict(numbers_from().__next__)
+    rows = []
+    for name, pieces, numbers, rest in zip(*(table.column(c) for c in ("pack", "pieces", "numbers", "rest"))):
+        if rest.is_valid:
+            rows.append((name.as_py(), None, rest.as_py()))
+            continue
+        values = np.frombuffer(unpack(numbers.as_buffer()), np.uint32)
+        n, text = int(values[0]), unpack(pieces.as_buffer()).decode()
+        ends = list(accumulate(values[1 : n + 1].tolist(), initial=0))
+        of = np.fromiter((number[text[a:z]] for a, z in zip(ends, ends[1:])), np.int64, n)
+        rows.append((name.as_py(), of, values[n + 1 :]))
+    size = tokenizer.measure(list(number))
+    out = []
+    for name, of, values in rows:
+        if of is None:
+            out.append((name, None, None, values))
+            continue
+        stand, (doc, times) = values[: len(of)], values[len(of) :].reshape(2, -1)
+        docs, where = np.unique(doc, return_inverse=True)
+        total = np.bincount(where, weights=times * np.repeat(size[of], stand), minlength=len(docs)).astype(np.int64)  # exact: below 2^53
+        out.append((name, docs.tobytes(), total.tobytes(), None))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), *[pa.binary()] * 3))], names=["pack", "docs", "counts", "rest"])
+
+
+def token_counts(df: DataFrame, tokenizer_path: str, *, text: str = "text", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
+    """df with `count`, the number of tokens of the text (without keep_text, instead of the text).
+
+    Two shuffles: frequencies of pre-tokens go to the buckets of the pre-tokens, where each distinct one is counted once, and
+    sums go back to the documents.  A very common pre-token is an entry for each document in its bucket, a few bytes, and
+    buckets grow in number with the text, so none is much greater than the others.
     """
-    return _add(df, text, count, pa.int64(), T.LongType(), lambda b: pa.array(load(tokenizer_path).count_all([t.decode() for t in b.texts()]), pa.int64()))
+    columns = [c for c in df.columns if c != count]
+    shown = [c for c in columns if keep_text or c != text]
+    source = df.select(*[F.col(f"`{c}`") for c in columns])
+    whole = load(tokenizer_path).whole_tokens()
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, task = load(tokenizer_path, whole), TaskContext.get().partitionId()
+        names = (f"{task}-{i}" for i in numbers_from())
+        held = _Pack(tokenizer, next(names))
+        for batch in batches:
+            for block in cut(batch, text, BLOCK):
+                held.add(block, block.batch.select(shown))
+                if held.bytes >= PACK_BYTES:
+                    yield from held.send(buckets)
+                    held = _Pack(tokenizer, next(names))
+        if held.rows:
+            yield from held.send(buckets)
+
+    def unite(table: pa.Table) -> pa.Table:
+        rest = next(x for x in table.column("rest") if x.is_valid)
+        rows = pa.ipc.open_stream(rest.as_buffer()).read_all()
+        out = rows.column("special").to_numpy().copy()
+        for docs, counts in zip(table.column("docs"), table.column("counts")):
+            if docs.is_valid:
+                out[np.frombuffer(docs.as_buffer(), np.uint32)] += np.frombuffer(counts.as_buffer(), np.int64)
+        return pa.table([*rows.columns[:-1], pa.array(out)], names=[*shown, count])
+
+    packed = source.mapInArrow(pack, "bucket int, pack string, pieces binary, numbers binary, rest binary")
+    summed = packed.groupBy("bucket").applyInArrow(lambda t: _summed(t, load(tokenizer_path, whole)), "pack string, docs binary, counts binary, rest binary")
+    return summed.groupBy("pack").applyInArrow(unite, T.StructType([*(source.schema[c] for c in shown), T.StructField(count, T.LongType())]))
