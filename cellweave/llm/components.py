@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import forget, keep
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _hang(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = _hang(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(_least(large).select("u", F.col("m").alias("v"))).distinct()
-        links = keep(small, "links")
+        before, links = links, keep(small, "links")
+        forget(before)
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

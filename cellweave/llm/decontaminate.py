@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Block, byte_class, cut, grams, window_minima, within, words
-from .shared import keep
+from .shared import keep, spare
 
 SPAN = 13
 GRAM = 5
@@ -159,9 +159,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
     bench = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(lambda it: _windows_of(it, span, k), "item string, m int, anchors binary, one binary, two binary")
     total = bench.agg(F.sum(F.octet_length("one") / 8)).first()[0] or 0
     parts = int(-(-total // part_windows)) or 1
+    if parts > 1:
+        bench = keep(bench, "benchmark windows")
 
     def index_of(part: int):
-        rows = bench if parts == 1 else keep(bench, "benchmark windows").where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+        rows = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
         return docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows.toLocalIterator()], k))
 
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -179,7 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
         return source.mapInArrow(judge, T.StructType([*(source.schema[c] for c in shown), *more]))
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    keyed = source.select("doc_id", "text", F.xxhash64("text").alias("__key"))
+    keyed = source.select("doc_id", "text", F.xxhash64("text").alias("key"))
     found = None
     for part in range(parts):
         index = index_of(part)
@@ -213,8 +215,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
                 yield pa.RecordBatch.from_arrays([*block.batch.columns, pa.array(np.diff(words(block.data, block.offsets, _TABLE).first))], names=[*columns, "n_words"])
 
     counted = source.mapInArrow(count, T.StructType([*source.schema.fields, more[0]]))
-    joined = counted.join(united.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("hits").alias("__hits"), F.col("found").alias("__found")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in shown], "n_words", F.coalesce("__hits", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("__found", F.array().cast("array<string>")).alias("items"))
+    id_, key, hits, items = (spare(columns, f"__{c}") for c in ("id", "key", "hits", "found"))
+    joined = counted.join(united.select(F.col("id").alias(id_), F.col("key").alias(key), F.col("hits").alias(hits), F.col("found").alias(items)), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in shown], "n_words", F.coalesce(hits, F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated() -> Column:

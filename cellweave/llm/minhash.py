@@ -1,9 +1,14 @@
 """Near copies by five-word shingles: MinHash bands find candidates, an exact check decides.
 
 A text's shingles are its runs of `shingle` words (split at ASCII white space, A-Z as a-z).  It gets BANDS * ROWS least
-hashes; texts that share all hashes of a band are candidates, and those whose sets of shingles have a Jaccard index of
-`least` or more are linked.  Two texts of index s have no band in common with probability (1 - s^ROWS)^BANDS: 3 in 100,000
-at 0.8.  All pairs of a band's group are looked at but those that differ too much in size.
+hashes.  The texts that share all hashes of a band are sorted by their hashes of the next band, which puts the nearest side by
+side, and each is compared with the NEIGHBOURS after it and with the first of its group: those whose sets of shingles have a
+Jaccard index of `least` or more are linked.  So a group of m texts costs NEIGHBOURS + 1 comparisons a text and never yields
+all its pairs, and a hot group is cut anywhere between two tasks (each of which has a first of its own).
+
+Two texts of index s have no band in common with probability (1 - s^ROWS)^BANDS: 3 in 100,000 at 0.8.  Groups of up to
+NEIGHBOURS + 2 texts have all their pairs compared; in larger ones a pair that is side by side in none of the bands it shares
+(eight on average) is found only through others of its group.
 
 Cases: texts of fewer words than a shingle, null ones too, are near no other; equal texts count as one, and copies of a text that
 is near no other stay: SimHash takes them out before.
@@ -20,11 +25,13 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, byte_class, cut, grams, mix, within, words
 from .components import components
-from .shared import keep
+from .shared import forget, keep, spare
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 20, 4
+#: Texts of a band's group that each is compared with, besides the group's first.
+NEIGHBOURS = 3
 
 _WORDS = byte_class(lower=True, alnum=False)
 _SALTS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1)
@@ -43,21 +50,21 @@ def shingles(block: Block, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
-    """(text_key, n, bands) of each row with a shingle: its number of distinct shingles and a hash for each band."""
+    """(text_key, bands) of each row with a shingle: a hash for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in cut(batch):
                 text, hashed = shingles(block, shingle)
-                some, start, n = np.unique(text, return_index=True, return_counts=True)
+                some, start = np.unique(text, return_index=True)
                 bands = np.zeros((len(some), BANDS), np.uint64)
                 for i in range(BANDS * ROWS if len(some) else 0):
                     least = np.minimum.reduceat((hashed ^ _SALTS[0, i]) * (_SALTS[1, i] | np.uint64(1)), start)
                     bands[:, i // ROWS] = mix(bands[:, i // ROWS] + least)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([block.column("text_key").take(pa.array(some)), pa.array(n.astype(np.int64)), lists], names=["text_key", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([block.column("text_key").take(pa.array(some)), lists], names=["text_key", "bands"])
 
-    return docs.select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "text_key bigint, n bigint, bands array<bigint>")
+    return docs.select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "text_key bigint, bands array<bigint>")
 
 
 def sets(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
@@ -74,27 +81,59 @@ def sets(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("text", "text_key").mapInArrow(run, "text_key bigint, shingles array<bigint>")
 
 
+def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (u, v) among rows (bucket, order, text_key) sorted that way: neighbours in a bucket, and its first row with each other."""
+    held = [np.empty(0, np.int64)] * 2  # the last rows, which the next batch goes on from
+    first = None  # (bucket, key) of the bucket that the last batch ended in
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fresh = len(held[0])
+        bucket, key = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for h, i in zip(held, (0, 2)))
+        begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        heads = key[begins]
+        if first is not None:
+            heads[bucket[begins] == first[0]] = first[1]
+        head = np.repeat(heads, np.diff(np.append(begins, len(bucket))))
+        found = [(head[fresh:], key[fresh:])]
+        for step in range(1, NEIGHBOURS + 1):
+            same = np.flatnonzero(bucket[step:] == bucket[:-step]) if len(bucket) > step else np.empty(0, np.int64)
+            same = same[same + step >= fresh]
+            found.append((key[same], key[same + step]))
+        a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        differ = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[differ]), pa.array(np.maximum(a, b)[differ])], names=["u", "v"])
+        held, first = [bucket[-NEIGHBOURS:], key[-NEIGHBOURS:]], (bucket[-1], head[-1])
+
+
 def links(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(u, v): text keys, u < v, of the texts that are near each other."""
-    sketched = keep(sketches(docs, shingle=shingle).dropDuplicates(["text_key"]), "sketches")
-    banded = sketched.select("text_key", "n", F.posexplode("bands").alias("band", "value"))
-    other = banded.select(F.col("text_key").alias("v"), F.col("n").alias("m"), "band", "value")
-    pairs = banded.join(other, ["band", "value"]).where((F.col("text_key") < F.col("v")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
-    pairs = keep(pairs.select(F.col("text_key").alias("u"), "v").distinct(), "candidates")
+    """(u, v): text keys, u < v, of texts that are near each other."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = sketches(docs, shingle=shingle).dropDuplicates(["text_key"])
+    banded = sketched.select("text_key", "bands", F.posexplode("bands").alias("band", "value"))
+    banded = banded.select(F.xxhash64("band", "value").alias("bucket"), F.get("bands", (F.col("band") + 1) % BANDS).alias("order"), "text_key")
+    banded = keep(banded, "bands")
+    dealt = banded.repartitionByRange(n, "bucket", "order", "text_key").sortWithinPartitions("bucket", "order", "text_key")
+    pairs = keep(dealt.mapInArrow(_side_by_side, "u bigint, v bigint").distinct(), "candidates")
     wanted = pairs.select(F.col("u").alias("text_key")).union(pairs.select("v")).distinct()
     texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
     of = keep(sets(texts, shingle=shingle), "shingles of candidates")
     a, b = (of.select(F.col("text_key").alias(k), F.col("shingles").alias(f"s_{k}")) for k in ("u", "v"))
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("s_u", "s_v")))
-    return both.where(F.col("common") >= least * (F.size("s_u") + F.size("s_v") - F.col("common"))).select("u", "v")
+    near = keep(both.where(F.col("common") >= least * (F.size("s_u") + F.size("s_v") - F.col("common"))).select("u", "v"), "near links")
+    forget(banded, pairs, of)
+    return near
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """docs without near copies: of each component the row of the least doc_id stays (null last; of several texts under that id one)."""
-    found = keep(components(links(docs, **settings)), "near copies")
+    near = links(docs, **settings)
+    found = keep(components(near), "near copies")
+    id_, key = spare(docs.columns, "__id"), spare(docs.columns, "__key")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key")).join(found, F.col("text_key") == F.col("node"))
     rows = keep(rows.select("doc_id", "text_key", "root"), "rows of near copies")
     chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("row"))
     gone = rows.join(chosen, "root").where(~(F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_key") == F.col("row.text_key"))))
-    gone = keep(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "near copies that go")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    gone = keep(gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)), "near copies that go")
+    forget(near, found, rows)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")

@@ -12,11 +12,13 @@ the labelled training rows; it can also be given.  The k-th greatest is found by
 nothing is sorted; of rows equal at that place all are selected.
 
 Cases: null and empty texts have weight 0; repeated rows share a fate; without labelled rows of both kinds all are selected;
-a null id has noise like any other.
+a null id has noise like any other; very long texts are featured whole, and the threshold is sought among all weights; extra
+columns, whatever they are called, stay as they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Block, byte_class, cut, grams, mix, within, words
-from .shared import keep
+from .shared import keep, spare
 
 BUCKETS = 1 << 15
 #: Rows labelled as good from which the target model is counted, about.
@@ -200,9 +202,22 @@ def kth_greatest(keys: DataFrame, k: int) -> int:
     return low
 
 
+def _edge(bin_: int) -> float:
+    """The least number of steps that falls into a bin of threshold()."""
+    if bin_ < -2000:
+        return -2000 * math.exp((-bin_ - 2000) / 1000)
+    return bin_ if bin_ <= 2000 else 2000 * math.exp((bin_ - 2000) / 1000)
+
+
 def threshold(weighted: DataFrame, labels: DataFrame, *, step: float = 1.0) -> float | None:
-    """The log weight (in whole steps) that best parts the labelled rows: KEEP times the share of good rows above it and the share of others below it are greatest."""
-    bin_of = F.least(F.greatest(F.floor(F.col(WEIGHT) / step), F.lit(-2000)), F.lit(2000))
+    """The log weight that best parts the labelled rows: KEEP times the share of good rows above it and the share of others below it are greatest.
+
+    It is sought in whole steps up to 2,000, beyond that (very long texts) in steps of a thousandth of the weight.
+    """
+    size = F.abs(F.col(WEIGHT) / step)
+    far = F.lit(2000) + F.floor(1000 * F.ln(size / 2000))
+    bin_of = F.when(size < 2000, F.floor(F.col(WEIGHT) / step)).otherwise(F.when(F.col(WEIGHT) < 0, -far - 1).otherwise(far))
+    bin_of = bin_of.cast("bigint")
     rows = weighted.join(labels, "doc_id").groupBy(bin_of.alias("bin")).agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
     good, bad = sum(r["good"] for r in rows), sum(r["n"] - r["good"] for r in rows)
     if not good or not bad:
@@ -210,7 +225,7 @@ def threshold(weighted: DataFrame, labels: DataFrame, *, step: float = 1.0) -> f
     best, at, above_good, below_bad, before = -1.0, None, good, 0, None
     for r in rows:
         if (found := KEEP * above_good / good + below_bad / bad) > best:  # a little into the gap below
-            best, at = found, r["bin"] if before is None else r["bin"] - (r["bin"] - before - 1) / 8
+            best, at = found, _edge(r["bin"]) if before is None else _edge(r["bin"]) - (_edge(r["bin"]) - _edge(before + 1)) / 8
         above_good -= r["good"]
         below_bad += r["n"] - r["good"]
         before = r["bin"]
@@ -231,6 +246,6 @@ def choose(docs: DataFrame, labels: DataFrame, *, k: int | None = None, buckets:
 
 def resample(docs: DataFrame, model: Model) -> DataFrame:
     """The selected rows of docs, with its columns."""
-    name = "__log_weight"
+    name = spare(docs.columns, "__log_weight")
     weighted = _with_weight(docs, model, name)
     return weighted.where(key(model, F.col("doc_id"), F.col(name)) >= model.least).drop(name)

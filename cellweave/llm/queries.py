@@ -39,11 +39,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = bpe.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    counted = bpe.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_text=False)
     return counted.select(
         "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_bytes",
         "n_tokens",
         (F.col("n_tokens") > 1024).alias("over_limit"),
     )
@@ -68,7 +68,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = winnow.edited_fingerprints(table(spark, sf_dir, "documents"), overlap=True)
+    found = winnow.edited_fingerprints(table(spark, sf_dir, "documents"), overlap=winnow.LONG_RUN)
     digest = lambda name: F.sha2(winnow.rendered(F.col(name)), 256).alias(name)
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("fingerprint"), digest("edited_fingerprint"), "near_edited", "near_next", F.size("fingerprint").alias("n_kept"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, cut
 from .components import components
-from .shared import keep
+from .shared import forget, keep, spare
 
 BITS = 64
 SHINGLE = 3
@@ -191,17 +191,20 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
     linked = keep(least.join(found, "fp"), "linked fingerprints")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = keep(linked.join(of_root, "root").select("fp", "root", "component_id"), "components")
+    forget(linked)
     mapping = least.join(moved, "fp", "left").select(F.col("fp").alias("k"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     mapping = keep(mapping, "component of fingerprint")
+    forget(moved, least)
     return of_docs.join(mapping, of_docs.fp == mapping.k).select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """docs without near duplicates: of each component the row of the least doc_id stays (of several texts under that id one, of equal rows one)."""
     found = keep(near_duplicates(docs, **settings), "near duplicates")
+    id_, key = spare(docs.columns, "__id"), spare(docs.columns, "__key")
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    chosen = chosen.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"))
-    left = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = chosen.select(F.col("row.doc_id").alias(id_), F.col("row.text_key").alias(key))
+    left = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))).select(*[F.col(f"`{c}`") for c in docs.columns])
     if found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         return left
     return left.dropDuplicates(["doc_id", "text"])

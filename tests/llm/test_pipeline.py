@@ -1,4 +1,5 @@
 import os
+import re
 
 import public_tokenizers
 import pytest
@@ -8,6 +9,8 @@ import corpus_pipeline as p
 from cellweave.llm import decontaminate
 
 from .test_decontaminate import brute as contaminated
+from .test_minhash import near as alike
+from .test_minhash import shingles
 from .test_passages import brute as passages
 from .test_simhash import brute as near
 from .test_simhash import fingerprint, roots
@@ -45,9 +48,16 @@ def test_quality_keeps_the_good_and_drops_the_bad(spark, stages):
     assert set(rows(stages[1])) <= set(rows(stages[0]))
 
 
-def test_near_duplicates(stages):
+def test_near_duplicates(spark, stages):
     before = rows(stages[1])
-    assert rows(stages[2]) == sorted(r for r, (i, _, c) in zip(before, near(before)) if i == c)
+    left = [r for r, (i, _, c) in zip(before, near(before)) if i == c]
+    assert rows(p.simhash_copies(spark, stages[1], SF)) == sorted(left)
+    of = {t: shingles(t) for _, t in left}
+    root = roots(set(of), lambda a, b: alike(of[a], of[b]))
+    least: dict = {}
+    for i, t in sorted(left):
+        least.setdefault(root[t], i)
+    assert len(least) < len(left) and {i for i, _ in rows(stages[2])} == set(least.values())
 
 
 def test_passages(stages):
@@ -60,14 +70,21 @@ def test_passages(stages):
 def test_decontamination(spark, stages):
     before = rows(stages[3])
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    gone = {r[0] for r in contaminated(before, items) if r[5]}
+    gone = {r[0] for r in contaminated(before, items) if r[3]}
     assert gone and rows(stages[4]) == [r for r in before if r[0] not in gone]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or ""))
+    line = lambda t: f" {' '.join(words(t))} "
+    windows = {f" {' '.join(w[i : i + 13])} " for _, t in items if (w := words(t)) for i in range(max(1, len(w) - 12))}
+    left = "|".join(line(t) for _, t in rows(stages[4]))
+    assert not [w for w in windows if w in left]
 
 
 def test_encoding(stages):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = dict(rows(stages[4]))
-    got = {r.doc_id: (r.n_tokens, r.ids) for r in stages[5].collect()}
+    out = stages[5].collect()
+    assert all(r.round_trip for r in out)
+    got = {r.doc_id: (r.n_tokens, r.ids) for r in out}
     assert got.keys() == texts.keys()
     assert all(v == (len(v[1]), library.encode(texts[i], add_special_tokens=False).ids) for i, v in got.items())
 
@@ -80,9 +97,9 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     for (i, _), f in zip(before, fps):
         least.setdefault(root[f], set()).add(i)
     want = sorted(str(min(i - {None}, default=None)) for i in least.values())
-    left = rows_with_nulls(p.near_duplicates(spark, odd_docs, SF))
+    left = rows_with_nulls(p.simhash_copies(spark, odd_docs, SF))
     assert sorted(str(i) for i, _ in left) == want and set(left) <= set(before)
-    assert p.near_duplicates(spark, no_docs, SF).collect() == []
+    assert p.simhash_copies(spark, no_docs, SF).collect() == []
 
 
 def rows_with_nulls(df):
@@ -92,3 +109,15 @@ def rows_with_nulls(df):
 def test_run(spark, stages):
     assert sorted(map(tuple, p.run(spark, SF).select("doc_id", "n_tokens").collect())) == sorted(map(tuple, stages[-1].select("doc_id", "n_tokens").collect()))
     assert os.path.exists(p.__file__) and decontaminate.SPAN == 13
+
+
+@pytest.mark.parametrize("stage", p.STAGES, ids=[n for n, _ in p.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs, stage):
+    name, f = stage
+    odd = odd_docs.withColumn("__id", p.F.lit(1)).withColumn("__key", p.F.lit(1)).withColumn("__group", p.F.lit("x")).withColumn("__log_weight", p.F.lit(1.0))
+    out = f(spark, odd, SF)
+    assert f(spark, no_docs, SF).collect() == []
+    if name != p.STAGES[-1][0]:
+        assert out.columns == odd.columns and 0 < len(out.collect()) <= odd.count()
+    else:
+        assert out.count() == odd.count() and all(r.round_trip for r in out.collect())
