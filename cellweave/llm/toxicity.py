@@ -1,18 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer writes a text as symbols: insult, suspect, threat, target, negation, report, other, and clause end.
-Insults and suspects come from a short list and from labelled rows: fronts of words, and words, that stand in toxic texts far
-more often (insults) or more often (suspects) than in others.  A clause machine, composed with it, reads the symbols:
-negation holds for the next few words, a verb of reporting for the rest of its clause, a target near an insult makes it
-personal.  It puts out the kind of each match in a clause: threatening, personal, plain, negated, reported or suspect.  The
-counts by kind, not the words, are scored: a logistic model, fitted to the labelled rows as a table of counts by kind and
-label, has a weight for each first, second and third match of a kind.
-
-Learning reads at most about `sample` labelled rows for words (the bound holds whatever the table's size), and all training
-rows for the weights, as a table of at most LEVELS ^ 6 cells.  Labels, language, source and id are no inputs of a score.
+A lexical transducer writes a text as a line of symbols: insult, suspect, threat, target, negation, report, other, clause end.
+Insults and suspects come from short lists and from labelled rows: fronts of words, and words, that stand in toxic texts far
+more often (insults) or more often (suspects) than in others.  Small sequential transducers then rewrite the line, each with
+one thing to say, and are composed into one machine:
+
+* near_target marks insults, suspects and threats that a target stands near (it runs from right to left for targets behind
+  them, and from left to right for those before);
+* negation marks what a negation holds for, the next few words of its clause;
+* reported marks what stands behind a verb of reporting in its clause;
+* clause reads marks and puts out one symbol for each clause that anything matched in: the kind of its weightiest match.
+
+A word by itself scores nothing: an insult, listed or learned, counts as what its clause makes of it.  The numbers of matched
+clauses by kind are scored by a logistic model, fitted to the labelled rows, in which each kind has a weight for being there
+and one for each doubling of its number (a weightier kind has those of the lighter ones of its sort as well); suspects also
+have one for each doubling of the clauses they are found among.
+
+Learning reads at most about `sample` labelled rows for words (the bound holds whatever the table's size), less copies, and
+all training rows for the weights, as a table by the powers of two that the numbers lie between.  Labels, language, source and
+id are no inputs of a score.
 
 Cases: null and empty texts have no clauses and get the model's base rate; repeated rows get equal scores; rows without a
-label are scored but not learned from; with no labels at all the listed words and built-in weights hold.
+label are scored but not learned from; with no labels at all the listed words and built-in weights hold; of several labels of
+an id the greatest holds; very long texts are read whole; extra columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +39,127 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cut
+from .minhash import sketches
 from .shared import keep
 
 #: Labelled rows from which words are learned, about.
 SAMPLE_ROWS = 20_000
-#: Entries of the learned lexicon at most.
-ENTRIES = 2_000
-#: Counts by kind are cut off here: 0, 1, 2, 3 or more.
-LEVELS = 4
-KINDS = ("threatening", "personal", "plain", "negated", "reported", "suspect")
-#: Suspects count as (two, three) if there is one in so many words.
-DENSE = ((2, 250), (3, 100))
+#: Kinds of matched clauses, the weightiest first, and their marks.
+KINDS = ("threatening", "personal", "plain", "weak personal", "weak", "reported", "negated", "weak reported", "weak negated")
+MARKS = "kpiqsuxvy"
+#: Places of the kinds that each kind's weights hold for: its own and those of weightier ones of its sort.
+HOLDS = ((0,), (0, 1), (0, 1, 2), (3,), (3, 4), (5,), (6,), (7,), (8,))
+#: What a kind weighs where nothing is learned.
+PRIOR_WEIGHTS = (0.5, 1.0, 5.0, 0.5, 1.0, 1.0, 0.5, 0.2, 0.1)
 #: Words after a negation that it holds for; words from a target to the insult it makes personal.
 NEGATED_WORDS, TARGET_WORDS = 3, 4
 #: Lengths of the fronts of words that count as features.
 FRONTS = range(4, 9)
-#: How many times as often a word or front must stand in toxic texts to be an insult, or a suspect.
-INSULT_RATIO, SUSPECT_RATIO = 30, 4
-
-INSULTS = frozenset("idiot idiots moron morons stupid dumb imbecile scum scumbag trash loser losers pathetic worthless disgusting clown filth vermin bastard bitch asshole cretin".split())
-THREATS = frozenset("kill murder strangle stab shoot hang burn beat destroy hurt".split())
-TARGETS = frozenset("you your yours youre u he she they them him her these those people all everyone du dich ihr vous tu toi eres usted ustedes".split())
-NEGATIONS = frozenset("not no never nobody neither nor without isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine nie ne pas jamais nunca ni sin".split())
-REPORTS = frozenset("said says say saying wrote writes quoted quotes claimed claims called reported according told dit sagte schrieb dijo".split())
-
+#: How many times as often as in others a word or front must stand in toxic texts to be an insult, or a suspect; a common one is a suspect at less.
+INSULT_RATIO, SUSPECT_RATIO, COMMON_RATIO = 200, 30, 4
+
+# Words of English, German, French and Spanish.
+INSULTS = frozenset("idiot idiots moron morons stupid dumb imbecile scum scumbag trash loser losers pathetic worthless disgusting clown filth vermin bastard bitch asshole cretin dummkopf abschaum arschloch connard crétin ordure idiota imbécil basura".split())
+THREATS = frozenset("kill murder strangle stab shoot hang burn beat destroy hurt töten umbringen erschießen tuer étrangler frapper matar quemar golpear".split())
+TARGETS = frozenset("you your yours youre u he she they them him her these those people all everyone du dich dir ihr euch sie tu te toi vous il elle ils eres usted ustedes ellos".split())
+NEGATIONS = frozenset("not no never nobody neither nor without isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine keiner nie niemand ne pas jamais aucun sans nunca ni sin tampoco".split())
+REPORTS = frozenset("said says say saying wrote writes quoted quotes claimed claims called reported according told sagte sagt schrieb behauptete dit écrit affirme dijo dice escribió".split())
+
+#: What the lexical transducer writes: insult, suspect, threat, target, negation, report, other word, clause end.
+SYMBOLS = "ishtnrw."
+_TOKEN = regex.compile(r"[^\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[.!?;:\n]")
 #: Clauses with something to match.
 _CLAUSE = regex.compile(r"[^.]*[ihs][^.]*")
-_TOKEN = regex.compile(r"[^\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[.!?;:\n]")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A sequential weighted transducer.  arcs: (state, symbol) -> (next state, what is written, one symbol or none, weight)."""
+
+    start: int
+    arcs: dict[tuple[int, str], tuple[int, str, float]]
+
+    def run(self, line: str) -> tuple[str, float]:
+        """What is written for the line, and the weights of its arcs added up."""
+        state, out, total, arcs = self.start, [], 0.0, self.arcs
+        for symbol in line:
+            state, written, weight = arcs[state, symbol]
+            if written:
+                out.append(written)
+            total += weight
+        return "".join(out), total
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that writes what second writes of what first writes."""
+    symbols: dict[int, list[str]] = {}
+    for state, symbol in first.arcs:
+        symbols.setdefault(state, []).append(symbol)
+    number = {(first.start, second.start): 0}
+    todo, arcs = [(first.start, second.start)], {}
+    while todo:
+        p, q = pair = todo.pop()
+        for symbol in symbols.get(p, ()):
+            p2, written, weight = first.arcs[p, symbol]
+            q2, out = q, ""
+            if written:
+                q2, out, more = second.arcs[q, written]
+                weight += more
+            if (p2, q2) not in number:
+                number[p2, q2] = len(number)
+                todo.append((p2, q2))
+            arcs[number[pair], symbol] = (number[p2, q2], out, weight)
+    return Transducer(0, arcs)
+
+
+def near_target(words: int = TARGET_WORDS) -> Transducer:
+    """i, s, h become p, q, k where a target stands at most so many words before, in the same clause.  State: words since the target."""
+    arcs = {}
+    for since in range(words + 1):
+        for symbol in SYMBOLS + "pqk":
+            near = since < words and symbol in "ish"
+            after = words if symbol == "." else 0 if symbol == "t" else min(words, since + 1)
+            arcs[since, symbol] = (after, dict(zip("ish", "pqk"))[symbol] if near else symbol, 0.0)
+    return Transducer(words, arcs)
+
+
+def negation(words: int = NEGATED_WORDS) -> Transducer:
+    """Strong marks become x, weak ones y, for so many words after a negation in the same clause.  State: words that it still holds for."""
+    arcs = {}
+    for left in range(words + 1):
+        for symbol in SYMBOLS + "pqk":
+            after = 0 if symbol == "." else words if symbol == "n" else max(0, left - 1)
+            arcs[left, symbol] = (after, ("x" if symbol in "ipk" else "y" if symbol in "sq" else symbol) if left else symbol, 0.0)
+    return Transducer(0, arcs)
+
+
+def reported() -> Transducer:
+    """Strong marks become u, weak ones v, after a verb of reporting in the same clause.  State: whether there was one."""
+    arcs = {}
+    for told in (0, 1):
+        for symbol in SYMBOLS + "pqkxy":
+            after = 0 if symbol == "." else int(told or symbol == "r")
+            arcs[told, symbol] = (after, ("u" if symbol in "ipk" else "v" if symbol in "sq" else symbol) if told else symbol, 0.0)
+    return Transducer(0, arcs)
+
+
+def clause(weights: tuple[float, ...] = PRIOR_WEIGHTS) -> Transducer:
+    """At the end of a clause the mark of its weightiest match, if any, with the kind's weight.  State: place of the weightiest so far in MARKS."""
+    arcs = {}
+    none = len(MARKS)
+    for best in range(none + 1):
+        for symbol in SYMBOLS + "pqkxyuv":
+            if symbol == ".":
+                arcs[best, symbol] = (none, MARKS[best] if best < none else "", weights[best] if best < none else 0.0)
+            else:
+                arcs[best, symbol] = (min(best, MARKS.find(symbol)) if symbol in MARKS else best, "", 0.0)
+    return Transducer(none, arcs)
+
+
+@lru_cache
+def machines() -> tuple[Transducer, Transducer]:
+    """(the one that runs from right to left, those that run from left to right, composed)."""
+    return near_target(), reduce(compose, [near_target(), negation(), reported(), clause()])
 
 
 @dataclass
@@ -65,8 +170,9 @@ class Grammar:
     fronts: frozenset[str] = frozenset()
     suspects: frozenset[str] = frozenset()
     bias: float = -3.0
-    weights: tuple[float, ...] = (5.0, 1.0, 1.0, 5.0, 1.0, 1.0, 4.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
+    weights: tuple[float, ...] = (*(x for w in PRIOR_WEIGHTS for x in (w, 0.3)), 0.0)
     _memory: dict = field(default_factory=dict, repr=False, compare=False)
+    _clauses: dict = field(default_factory=dict, repr=False, compare=False)
 
     def symbol(self, word: str) -> str:
         """The lexical transducer: i insult, s suspect, h threat, t target, n negation, r report, . clause end, w other."""
@@ -74,9 +180,11 @@ class Grammar:
             return "."
         if word in self.words or any(word[:n] in self.fronts for n in FRONTS if n <= len(word)):
             return "i"
+        if word in THREATS:
+            return "h"
         if any(word[:n] in self.suspects for n in FRONTS if n <= len(word)):
             return "s"
-        return "h" if word in THREATS else "n" if word in NEGATIONS else "t" if word in TARGETS else "r" if word in REPORTS else "w"
+        return "n" if word in NEGATIONS else "t" if word in TARGETS else "r" if word in REPORTS else "w"
 
     def symbols(self, text: str) -> str:
         memory = self._memory
@@ -90,45 +198,28 @@ class Grammar:
             out.append(s)
         return "".join(out)
 
-    def clauses(self, text: str) -> list[int]:
-        """Kinds of the matches: one for each insult, suspect, or threat on a target, in a clause."""
+    def kinds(self, text: str) -> str:
+        """The mark of each matched clause."""
         return self._kinds(self.symbols(text))
 
-    def _kinds(self, line: str) -> list[int]:
-        return [kind for clause in _CLAUSE.findall(line) for kind in self.machine(clause)]
-
-    @staticmethod
-    def machine(clause: str) -> list[int]:
-        """Runs over a clause's symbols: (words that a negation still holds, reported, words since a target, insults so far)."""
-        out, negated, reported, since = [], 0, False, TARGET_WORDS + 1
-        for i, s in enumerate(clause):
-            if s in "ih":
-                near = since <= TARGET_WORDS or "t" in clause[i + 1 : i + 1 + TARGET_WORDS]
-                if s == "h" and not near:
-                    pass
-                elif negated:
-                    out.append(3)
-                elif reported:
-                    out.append(4)
-                else:
-                    out.append(0 if s == "h" else 1 if near else 2)
-            elif s == "s":
-                out.append(5)
-            negated = NEGATED_WORDS if s == "n" else max(0, negated - 1)
-            reported = reported or s == "r"
-            since = 0 if s == "t" else since + 1
-        return out
-
-    def counts(self, text: str) -> tuple[int, ...]:
-        """Matches by kind, at most LEVELS - 1.  Suspects, which long texts have by chance, count as two or three only where they are that dense."""
+    def _kinds(self, line: str) -> str:
+        """A machine starts each clause anew, so clauses without anything to match are left out, and others are looked up."""
+        memory, out = self._clauses, []
+        if len(memory) > 200_000:
+            memory.clear()
+        for one in _CLAUSE.findall(line):
+            kind = memory.get(one)
+            if kind is None:
+                backward, forward = machines()
+                kind = memory[one] = forward.run(backward.run(f".{one}."[::-1])[0][::-1])[0]
+            out.append(kind)
+        return "".join(out)
+
+    def counts(self, text: str) -> list[int]:
+        """Matched clauses by kind, and clauses altogether."""
         line = self.symbols(text)
-        n = [0] * len(KINDS)
-        for kind in self._kinds(line):
-            n[kind] += 1
-        last = len(KINDS) - 1
-        if n[last]:
-            n[last] = 1 + sum(n[last] >= max(level, len(line) / words) for level, words in DENSE)
-        return tuple(min(x, LEVELS - 1) for x in n)
+        kinds = self._kinds(line)
+        return [*map(kinds.count, MARKS), line.count(".") + 1]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,23 +243,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _one_of_copies(labelled: DataFrame) -> DataFrame:
-    """One of the rows that share the least hash of their long words, twice over: copies and near copies, for the most part."""
-    long_words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 8))
-    for salt in (1, 2):
-        least = F.array_min(F.transform(long_words, lambda w: F.xxhash64(w, F.lit(salt))))  # noqa: B023
-        labelled = labelled.withColumn("copy_key", F.coalesce(least, F.xxhash64("text"))).dropDuplicates(["copy_key"])
-    return labelled.drop("copy_key")
+    """(text, toxic): of rows of equal text, and then of those that share a band of min-hashes of five-word shingles, twice over, the one of the least id."""
+    rows = labelled.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    rows = keep(rows.withColumn("text_key", F.xxhash64("text")), "toxicity sample")
+    left = rows.join(sketches(rows).withColumnRenamed("text_key", "k"), F.col("text_key") == F.col("k"), "left").select("doc_id", "text_key", "bands")
+    for band in (0, 1):
+        same = F.coalesce(F.get("bands", F.lit(band)), "text_key")
+        left = left.groupBy(same.alias("band")).agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("row")).select("row.*")
+    return rows.join(F.broadcast(left.select(F.col("text_key").alias("k"))), F.col("text_key") == F.col("k"), "left_semi").select("text", "toxic")
 
 
-def learn_lexicon(labelled: DataFrame, *, entries: int = ENTRIES) -> Grammar:
-    """A grammar without fitted weights, from rows (text, toxic).
+def learn_lexicon(labelled: DataFrame) -> Grammar:
+    """A grammar without fitted weights, from rows (doc_id, text, toxic), few enough for a worker.
 
-    Words and fronts of words count that stand in one of 250 toxic texts and INSULT_RATIO times as often as in others, or in
-    one of 50 and SUSPECT_RATIO times as often.
+    Words and fronts of words count that stand in one of 250 toxic texts and SUSPECT_RATIO times as often as in others, or in
+    one of 50 and COMMON_RATIO times as often.
 
     Of copies one counts.
     """
-    labelled = keep(_one_of_copies(labelled.select("text", "toxic")), "toxicity sample")
+    labelled = keep(_one_of_copies(labelled), "toxicity sample without copies")
     n = labelled.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.count(F.lit(1))).first()
     toxic, other = n[0] or 0, n[1] - (n[0] or 0)
     if not toxic or not other:
@@ -177,8 +270,8 @@ def learn_lexicon(labelled: DataFrame, *, entries: int = ENTRIES) -> Grammar:
     rows = labelled.mapInArrow(_features, "feature string, toxic bigint, other bigint")
     rows = rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     rows = rows.withColumn("ratio", (F.col("toxic") / toxic) / ((F.col("other") + 0.5) / other))
-    enough = (F.col("ratio") >= INSULT_RATIO) | (F.col("toxic") >= max(least, toxic / 50)) & (F.col("ratio") >= SUSPECT_RATIO)
-    rows = rows.where((F.col("toxic") >= least) & enough).orderBy(F.desc("toxic"), "feature").limit(entries)
+    enough = (F.col("ratio") >= SUSPECT_RATIO) | (F.col("toxic") >= max(least, toxic / 50)) & (F.col("ratio") >= COMMON_RATIO)
+    rows = rows.where((F.col("toxic") >= least) & enough)
     return sort_out({r["feature"]: (r["toxic"], r["ratio"]) for r in rows.collect()})
 
 
@@ -198,14 +291,22 @@ def sort_out(found: dict[str, tuple[int, float]]) -> Grammar:
     return Grammar(frozenset(short | INSULTS), frozenset(insults), frozenset(suspects))
 
 
-def steps(counts: tuple[int, ...]) -> list[int]:
-    """For each kind whether there is a first, second, third match."""
-    return [int(c >= n) for c in counts for n in range(1, LEVELS)]
+def levels(counts: list[int]) -> list[int]:
+    """The numbers of binary digits: 0 for 0, 1 for 1, 2 for 2 and 3, and so on."""
+    return [c.bit_length() for c in counts]
+
 
+def inputs(levels: list[int]) -> list[float]:
+    """Of levels(): for each kind whether there is any, and its doublings; and the doublings of the clauses that suspects alone are found among."""
+    *kinds, clauses = levels
+    held = [max(kinds[i] for i in places) for places in HOLDS]
+    weak = [x for k, x in zip(KINDS, kinds) if k.startswith("weak")]
+    return [*(float(v) for x in held for v in (x > 0, max(0, x - 1))), float(clauses) if any(weak) else 0.0]
 
-def fit(cells: list[tuple[tuple[int, ...], int, int]], *, rounds: int = 60, ridge: float = 1.0) -> tuple[float, tuple[float, ...]]:
-    """Bias and weights of a logistic model from (counts by kind, toxic rows, other rows), by Newton's method with a ridge."""
-    x = np.array([(1, *steps(c)) for c, _, _ in cells], float)
+
+def fit(cells: list[tuple[list[int], int, int]], *, rounds: int = 60, ridge: float = 1.0) -> tuple[float, tuple[float, ...]]:
+    """Bias and weights of a logistic model from (levels, toxic rows, other rows), by Newton's method with a ridge."""
+    x = np.array([(1, *inputs(c)) for c, _, _ in cells], float)
     t, o = (np.array([c[i] for c in cells], float) for i in (1, 2))
     w = np.zeros(x.shape[1])
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
@@ -226,41 +327,51 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def lexicon_of(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE_ROWS, entries: int = ENTRIES) -> Grammar:
+def lexicon_of(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE_ROWS) -> Grammar:
     """learn_lexicon() of docs (doc_id, text) whose labels are in training_labels(), about `sample` of them, chosen by hash of the id."""
     n = labels.count()
     if not n:
         return Grammar()
     share = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / n)))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return learn_lexicon(texts.join(F.broadcast(share), "doc_id"), entries=entries)  # about `sample` ids at most
+    return learn_lexicon(texts.join(F.broadcast(share), "doc_id"))  # about `sample` ids at most
 
 
 def count(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """(doc_id, clauses) of each row of docs (doc_id, text): matched clauses by kind, at most LEVELS - 1 each."""
+    """(doc_id, clauses) of each row of docs (doc_id, text): matched clauses by kind, and clauses altogether."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in cut(batch):
-                counts = [list(grammar.counts(t.decode())) for t in block.texts()]
+                counts = [grammar.counts(t.decode()) for t in block.texts()]
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "clauses"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, clauses array<int>")
 
 
+def _levels(clauses: Column) -> Column:
+    return F.transform(clauses, lambda c: F.when(c > 0, F.length(F.bin(c))).otherwise(0))
+
+
 def weigh(grammar: Grammar, counted: DataFrame, labels: DataFrame) -> Grammar:
     """The grammar with a bias and weights fitted to count() of the labelled rows."""
-    rows = counted.join(labels, "doc_id").groupBy("clauses").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
+    rows = counted.join(labels, "doc_id").groupBy(_levels(F.col("clauses")).alias("levels")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
     if not rows or not 0 < sum(r["toxic"] for r in rows) < sum(r["n"] for r in rows):
         return grammar
-    bias, weights = fit([(tuple(r["clauses"]), r["toxic"], r["n"] - r["toxic"]) for r in rows])
+    bias, weights = fit([(list(r["levels"]), r["toxic"], r["n"] - r["toxic"]) for r in rows])
     return replace(grammar, bias=bias, weights=weights)
 
 
 def score(counted: DataFrame, grammar: Grammar) -> DataFrame:
     """count() with score and predicted."""
+    out = counted.withColumn("__levels", _levels(F.col("clauses")))
+    level = lambda i: F.get("__levels", F.lit(i))
     z = F.lit(float(grammar.bias))
-    for i, w in enumerate(grammar.weights):
-        z = z + F.when(F.col("clauses")[i // (LEVELS - 1)] > i % (LEVELS - 1), F.lit(float(w))).otherwise(F.lit(0.0))
-    out = counted.withColumn("score", 1 / (1 + F.exp(-z)))
+    for i, places in enumerate(HOLDS):
+        there, doubled = (F.lit(float(w)) for w in grammar.weights[2 * i : 2 * i + 2])
+        held = reduce(F.greatest, map(level, places))
+        z = z + F.when(held > 0, there + doubled * (held - 1)).otherwise(F.lit(0.0))
+    weak = reduce(lambda a, b: a | b, [level(i) > 0 for i, k in enumerate(KINDS) if k.startswith("weak")])
+    z = z + F.when(weak, F.lit(float(grammar.weights[-1])) * level(len(KINDS))).otherwise(F.lit(0.0))
+    out = out.withColumn("score", 1 / (1 + F.exp(-z))).drop("__levels")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
