@@ -7,7 +7,7 @@ its own), and a block is tokenised and hashed with NumPy over its UTF-8 bytes, n
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -191,7 +191,7 @@ def _raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return content, offsets - offsets[0]
 
 
-def _release() -> None:
+def release() -> None:
     """Gives memory that a batch has left behind back to the system: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
     if _libc is not None:
@@ -207,16 +207,5 @@ def cut(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> I
         stop = min(stop, n, row + 16384)
         yield Block(batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
         row = stop
-    _release()
+    release()
 
-
-def per_block(f: Callable[[Block], dict], schema: pa.Schema, text: str = "text") -> Callable:
-    """A function for mapInArrow: f makes the output columns of a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in cut(batch, text):
-                out = f(block)
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) if not isinstance(out[x.name], pa.Array) else out[x.name].cast(x.type) for x in schema], schema=schema)
-
-    return run

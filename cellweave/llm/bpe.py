@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, cut
+from .blocks import Block, cut, release
 
 #: Distinct pre-tokens, and pairs of tokens, that a worker remembers from block to block.
 REMEMBERED = 150_000
@@ -291,6 +291,13 @@ class ByteBPE:
             out[place[word]] = n
         return out
 
+    def forget(self) -> None:
+        """Empties the memories: a worker outlives its task, and the next may be another operator's."""
+        self.known, self._known, self._edges, self._pairs = {}, {}, ({}, {}), 0
+        for known in self.apart:
+            known.clear()
+        release()
+
     def numbered(self, texts: list[str]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
         """Distinct pre-tokens, and each text as their numbers; a special token is numbered -1 - id."""
         number: defaultdict[str, int] = defaultdict(numbers_from().__next__)
@@ -374,8 +381,8 @@ def spelling(path: str) -> Spelling:
     return _spellings[path]
 
 
-def _add(df: DataFrame, text: str, name: str, kind: pa.DataType, spark_type: T.DataType, make) -> DataFrame:
-    """df with one more column (replacing one of that name), made from blocks of rows by make(block)."""
+def _add(df: DataFrame, text: str, name: str, kind: pa.DataType, spark_type: T.DataType, make, done) -> DataFrame:
+    """df with one more column (replacing one of that name), made from blocks of rows by make(block); done() is called at the end of a task."""
     keep = [c for c in df.columns if c != name]
     source = df.select(*[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([*source.schema.fields, T.StructField(name, spark_type)])
@@ -384,6 +391,7 @@ def _add(df: DataFrame, text: str, name: str, kind: pa.DataType, spark_type: T.D
         for batch in batches:
             for block in cut(batch, text, BLOCK):
                 yield pa.RecordBatch.from_arrays([*block.batch.columns, make(block).cast(kind)], names=[*keep, name])
+        done()
 
     return source.mapInArrow(run, schema)
 
@@ -391,7 +399,7 @@ def _add(df: DataFrame, text: str, name: str, kind: pa.DataType, spark_type: T.D
 def bpe_encode(df: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with `ids`, an array of the text's token ids.  A column of that name is replaced."""
     whole = load(tokenizer_path).whole_tokens()  # found out once, for all workers
-    return _add(df, text, ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()), lambda b: load(tokenizer_path, whole).encode_all([t.decode() for t in b.texts()]))
+    return _add(df, text, ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()), lambda b: load(tokenizer_path, whole).encode_all([t.decode() for t in b.texts()]), lambda: load(tokenizer_path, whole).forget())
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -472,6 +480,7 @@ def _summed(table: pa.Table, tokenizer: ByteBPE) -> pa.Table:
         of = np.fromiter((number[text[a:z]] for a, z in zip(ends, ends[1:])), np.int64, n)
         rows.append((name.as_py(), of, values[n + 1 :]))
     size = tokenizer.measure(list(number))
+    tokenizer.forget()
     out = []
     for name, of, values in rows:
         if of is None:
@@ -510,6 +519,8 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, text: str = "text", coun
                     held = _Pack(tokenizer, next(names))
         if held.rows:
             yield from held.send(buckets)
+        del held
+        release()
 
     def unite(table: pa.Table) -> pa.Table:
         rest = next(x for x in table.column("rest") if x.is_valid)
