@@ -7,11 +7,11 @@ The documents are dealt once into groups of a few megabytes, which three rounds
 1. Of each window the k-gram of words with the least hash (rightmost of equals) is its anchor; equal windows have equal
    anchors.  Groups send their distinct anchors to the buckets these fall into, and hear which recur in other documents.
 2. Groups send the phrases around recurring anchors, each distinct phrase once with its first document, to the bucket of the
-   anchor.  (A phrase is the words of all windows of one anchor; where an anchor recurs in very many groups, each window is
+   anchor.  (A phrase is the words of all windows of one anchor; where an anchor recurs in many groups, each window is
    a phrase of its own and goes to a bucket by its own hash, so that no bucket gets all that surrounds a common line.)
    A bucket is a shard: it confirms what recurs (phrases that several documents hold, and windows that stand in several
-   different phrases), compiles it into an Aho-Corasick automaton, each with its first document, and streams all phrases
-   through it.  In the automaton a word is a letter, so a window is a key of `span` letters.  Shards of too many windows are
+   different phrases, by hash), compiles it into an Aho-Corasick automaton, each with its first document, and streams all its
+   phrases through it.  In the automaton a word is a letter, so a window is a key of `span` letters.  Shards of too many windows are
    cut by anchor into several automata, one at a time.
 3. Groups hear where windows were found, and cover their words.
 
@@ -19,13 +19,15 @@ Groups answer for their own documents, so a passage that stands in a third of al
 
 Cases: null and wordless texts have no words; texts of fewer words than a window lose none; repeated rows and rows of equal
 id are not each other's copies, unless the words also stand in a smaller id; rows without id come after all others and keep
-what only such rows hold.
+what only such rows hold; very long texts are handled whole, in a group of their own size; extra columns stay, whatever they
+are called (the two names that start with `__passages_` are an error).
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, count
 
 import ahocorasick
 import numpy as np
@@ -45,12 +47,14 @@ GROUP_BYTES = 3 << 20
 PARTITION_BYTES = 64 << 20
 #: Windows in one automaton, about.
 AUTOMATON_WINDOWS = 150_000
-#: Anchors of more groups than this, and than an eighth of all, have their windows sent one by one.
-COMMON_GROUPS = 24
+#: Anchors of more groups than this have their windows sent one by one.
+COMMON_GROUPS = 48
+#: Words that fit into the letters of a text: the characters without surrogates.
+LETTERS = 0x10FFFF - 0x800
 
 _TABLE = byte_class(lower=False, alnum=False)
 _NONE = np.iinfo(np.int64).max
-_G, _B = "__group", "__bucket"
+_G, _B = "__passages_group", "__passages_bucket"
 
 
 class _Group:
@@ -173,45 +177,50 @@ def _phrases(table: pa.Table, answer: pa.Table, span: int, k: int, buckets: int)
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
 
 
-def _letters(phrases: list[bytes]) -> list[str]:
-    """Phrases with a letter for each distinct word (surrogates are no letters)."""
-    number: dict[bytes, str] = {}
-    out = []
-    for phrase in phrases:
-        line = []
-        for word in phrase.split(b" "):
-            letter = number.get(word)
-            if letter is None:
-                n = len(number) + 1
-                letter = number[word] = chr(n if n < 0xD800 else n + 0x800)
-            line.append(letter)
-        out.append("".join(line))
-    return out
+def _numbered(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(numbers of the words, one phrase after the other; where each phrase begins; how many distinct words there are)."""
+    number: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+    lines = [list(map(number.__getitem__, p.split(b" "))) for p in phrases]
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))])
+    return np.fromiter(chain.from_iterable(lines), np.uint64, int(first[-1])), first, len(number)
+
+
+def recurring(flat: np.ndarray, first: np.ndarray, least: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, first document) of each window that stands in several of these different phrases, once: told by two 64-bit hashes."""
+    place = np.flatnonzero(within(first, span, len(flat)))
+    if not len(place):
+        return place, place
+    phrase = np.searchsorted(first, place, "right") - 1
+    one, two = (grams(mix(flat + np.uint64(salt)), span)[place] for salt in (0, 1 << 40))
+    order = np.lexsort((two, one))
+    one, two, phrase = one[order], two[order], phrase[order]
+    at = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    several = np.minimum.reduceat(phrase, at) != np.maximum.reduceat(phrase, at)
+    return place[order[at[several]]], np.minimum.reduceat(least[phrase], at)[several]
 
 
 def locate(phrases: list[bytes], first: list[int], many: list[bool], span: int) -> list[list[int]]:
     """For each of these different phrases, and each window in it, the first document that a confirmed window starts in, else _NONE.
 
-    first: the least document that holds the phrase; many: whether several hold it.
+    first: the least document that holds the phrase; many: whether several hold it.  What recurs (phrases that several
+    documents hold, and windows of several phrases) is compiled into an automaton; all phrases are streamed through it.
+    Words are its letters: characters, or whole numbers where there are more words than characters.
     """
-    lines = _letters(phrases)
-    holder: dict[str, int] = {}
-    shared: dict[str, int] = {}
-    for n, line in enumerate(lines):
-        for i in range(len(line) - span + 1):
-            window = line[i : i + span]
-            other = holder.setdefault(window, n)
-            if other != n:
-                shared[window] = min(shared.get(window, first[other]), first[n])
-    del holder
-    out = [[_NONE] * (len(line) - span + 1) for line in lines]
-    automaton = ahocorasick.Automaton()
+    flat, at, n = _numbered(phrases)
+    where, holder = recurring(flat, at, np.array(first, np.int64), span)
+    if n <= LETTERS:  # surrogates are no characters
+        text = (flat + np.where(flat < 0xD800, np.uint64(0), np.uint64(0x800))).astype("<u4").tobytes().decode("utf-32-le")
+        automaton = ahocorasick.Automaton()
+    else:
+        text = tuple(flat.tolist())
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    lines = [text[a:z] for a, z in zip(at.tolist(), at[1:].tolist())]
     for line, doc, several in zip(lines, first, many):
         if several:
             automaton.add_word(line, (len(line), doc))
-    for window, doc in shared.items():  # takes the place of a phrase that is this window alone
-        automaton.add_word(window, (span, doc))
-    del shared
+    for i, doc in zip(where.tolist(), holder.tolist()):  # takes the place of a phrase that is this window alone
+        automaton.add_word(text[i : i + span], (span, doc))
+    out = [[_NONE] * (len(line) - span + 1) for line in lines]
     if len(automaton):
         automaton.make_automaton()
         for line, found in zip(lines, out):
@@ -289,7 +298,7 @@ def remove_repeated(docs: DataFrame, *, span: int = SPAN, k: int = GRAM, group_b
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     groups = max(1, -(-total // group_bytes))
     buckets = 4 * n
-    common = max(COMMON_GROUPS, groups // 8)
+    common = COMMON_GROUPS
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     dealt = docs.select(*[F.col(f"`{c}`") for c in columns], F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias(_G)).repartition(n, _G)
     anchors = dealt.groupBy(_G).applyInArrow(lambda t: _anchors(t, span, k, buckets), f"{_B} int, {_G} bigint, anchors binary, many binary")

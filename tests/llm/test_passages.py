@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -38,12 +39,47 @@ def test_matches_brute_force(request, monkeypatch, name, settings):
 
 
 def test_columns_stay(odd_docs, no_docs):
-    out = passages.remove_repeated(odd_docs.withColumn("kept", odd_docs.text).withColumn("start", odd_docs.doc_id))
-    assert out.columns == [*odd_docs.columns, "start", "n_words", "n_removed", "kept"]
+    out = passages.remove_repeated(odd_docs.withColumn("kept", odd_docs.text).withColumn("start", odd_docs.doc_id).withColumn("__group", odd_docs.text))
+    assert out.columns == [*odd_docs.columns, "start", "__group", "n_words", "n_removed", "kept"]
     assert out.count() == odd_docs.count()
     assert passages.remove_repeated(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("letters", [0, 4, passages.LETTERS])
+def test_letters_and_numbers_alike(monkeypatch, letters):
+    monkeypatch.setattr(passages, "LETTERS", letters)
+    rng = random.Random(4)
+    words = [b"w%d" % i for i in range(40)]
+    phrases = list({b" ".join(rng.choice(words[:3]) for _ in range(rng.randrange(3, 9))) for _ in range(60)})
+    first = [rng.randrange(90) for _ in phrases]
+    many = [rng.random() < 0.3 for _ in phrases]
+    holders = defaultdict(list)
+    for p, f, m in zip(phrases, first, many):
+        w = p.split()
+        for i in range(len(w) - 2):
+            holders[tuple(w[i : i + 3])].append((p, f, m))
+    want = []
+    for p in phrases:
+        w = p.split()
+        held = [holders[tuple(w[i : i + 3])] for i in range(len(w) - 2)]
+        want.append([min(f for _, f, _ in h) if len({q for q, _, _ in h}) > 1 or any(m for _, _, m in h) else passages._NONE for h in held])
+    assert passages.locate(phrases, first, many, 3) == want
+
+
+def test_more_words_than_characters():
+    words = [b"%d" % i for i in range(passages.LETTERS + 50)]
+    phrases = [b" ".join(words[i : i + 2000]) for i in range(0, len(words), 1990)]
+    found = passages.locate(phrases, list(range(len(phrases))), [False] * len(phrases), 5)
+    assert all(x[-6:] == [n] * 6 and x[6] == passages._NONE for n, x in enumerate(found[:-2]) if n)
+
+
+def test_a_window_in_all_groups(spark):
+    line = " ".join(f"licence{i}" for i in range(13))
+    rows = [(i, f"own{i} a{i} b{i} {line} c{i} d{i}") for i in range(400)]
+    got = passages.remove_repeated(spark.createDataFrame(rows, "doc_id bigint, text string"), group_bytes=400).select("doc_id", "n_removed").collect()
+    assert {r.n_removed for r in got if r.doc_id} == {13} and [r.n_removed for r in got if not r.doc_id] == [0]
+
+
 def test_automaton_finds_overlapping_windows():
     phrases = [b"a b c d", b"b c d e", b"x y z", b"b c d"]
     assert passages.locate(phrases, [5, 3, 1, 9], [False] * 4, 3) == [[passages._NONE, 3], [3, passages._NONE], [passages._NONE], [3]]
