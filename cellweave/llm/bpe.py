@@ -417,6 +417,26 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: st
     return source.mapInArrow(run, schema)
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0 on, each in as few bytes a number as its greatest needs, compressed."""
+    parts = [np.array([len(arrays), *map(len, arrays)], np.uint64).tobytes()]
+    for a in arrays:
+        kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(a) or int(a.max()) < 1 << 8 * np.dtype(k).itemsize)
+        parts += [np.dtype(kind).itemsize.to_bytes(1, "little"), a.astype(kind).tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpacked(data) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    out, at = [], 8 * (n + 1)
+    for size in np.frombuffer(raw, np.uint64, n, 8).tolist():
+        width = raw[at]
+        out.append(np.frombuffer(raw, f"<u{width}", size, at + 1).astype(np.int64))
+        at += 1 + width * size
+    return out
+
+
 class _Pack:
     """Frequencies of pre-tokens of some documents, by bucket of pre-tokens."""
 
@@ -449,14 +469,18 @@ class _Pack:
         doc, times = doc[order], times[order]
         stand = np.bincount(of, minlength=len(pieces)).astype(np.uint32)
         ends = np.concatenate([[0], np.cumsum(stand, dtype=np.int64)])
-        pack = zstandard.ZstdCompressor(level=1).compress
+        # documents of a pre-token rise, and so do the first ones of pre-tokens in the order they were met in: steps are small
+        begin = ends[:-1]
+        step = np.diff(doc.astype(np.int64), prepend=0)
+        pack = zstandard.ZstdCompressor(level=3).compress
         cuts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1)).tolist()
         out = []
         for a, z in zip(cuts, [*cuts[1:], len(pieces)]):
             spelled = [pieces[i] for i in by_bucket[a:z].tolist()]
             within = slice(ends[a], ends[z])
+            step[begin[a:z]] = np.diff(doc[begin[a:z]].astype(np.int64), prepend=0)
             sizes = np.fromiter(map(len, spelled), np.uint32, len(spelled))
-            out.append((int(bucket[by_bucket[a]]), self.name, pack("".join(spelled).encode()), pack(np.concatenate([[len(spelled)], sizes, stand[a:z], doc[within], times[within]]).astype(np.uint32).tobytes()), None))
+            out.append((int(bucket[by_bucket[a]]), self.name, pack("".join(spelled).encode()), _packed(sizes, stand[a:z], step[within], times[within]), None))
         rest = pa.Table.from_batches(self.rows).append_column("special", pa.array(special.astype(np.int64)))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rest.schema) as stream:
@@ -474,23 +498,27 @@ def _summed(table: pa.Table, tokenizer: ByteBPE) -> pa.Table:
         if rest.is_valid:
             rows.append((name.as_py(), None, rest.as_py()))
             continue
-        values = np.frombuffer(unpack(numbers.as_buffer()), np.uint32)
-        n, text = int(values[0]), unpack(pieces.as_buffer()).decode()
-        ends = list(accumulate(values[1 : n + 1].tolist(), initial=0))
-        of = np.fromiter((number[text[a:z]] for a, z in zip(ends, ends[1:])), np.int64, n)
-        rows.append((name.as_py(), of, values[n + 1 :]))
+        sizes, stand, step, times = _unpacked(numbers.as_buffer())
+        text = unpack(pieces.as_buffer()).decode()
+        ends = list(accumulate(sizes.tolist(), initial=0))
+        of = np.fromiter((number[text[a:z]] for a, z in zip(ends, ends[1:])), np.int64, len(sizes))
+        begin = np.cumsum(stand) - stand
+        first = np.cumsum(step[begin])
+        step[begin] = 0
+        on = np.cumsum(step)
+        rows.append((name.as_py(), of, (stand, on + np.repeat(first - on[begin], stand), times)))
     size = tokenizer.measure(list(number))
     tokenizer.forget()
     out = []
     for name, of, values in rows:
         if of is None:
-            out.append((name, None, None, values))
+            out.append((name, None, values))
             continue
-        stand, (doc, times) = values[: len(of)], values[len(of) :].reshape(2, -1)
+        stand, doc, times = values
         docs, where = np.unique(doc, return_inverse=True)
         total = np.bincount(where, weights=times * np.repeat(size[of], stand), minlength=len(docs)).astype(np.int64)  # exact: below 2^53
-        out.append((name, docs.tobytes(), total.tobytes(), None))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), *[pa.binary()] * 3))], names=["pack", "docs", "counts", "rest"])
+        out.append((name, _packed(np.diff(docs, prepend=0), total), None))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))], names=["pack", "sums", "rest"])
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, *, text: str = "text", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
@@ -505,7 +533,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, text: str = "text", coun
     source = df.select(*[F.col(f"`{c}`") for c in columns])
     whole = load(tokenizer_path).whole_tokens()
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, task = load(tokenizer_path, whole), TaskContext.get().partitionId()
@@ -526,11 +554,12 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, text: str = "text", coun
         rest = next(x for x in table.column("rest") if x.is_valid)
         rows = pa.ipc.open_stream(rest.as_buffer()).read_all()
         out = rows.column("special").to_numpy().copy()
-        for docs, counts in zip(table.column("docs"), table.column("counts")):
-            if docs.is_valid:
-                out[np.frombuffer(docs.as_buffer(), np.uint32)] += np.frombuffer(counts.as_buffer(), np.int64)
+        for sums in table.column("sums"):
+            if sums.is_valid:
+                steps, counts = _unpacked(sums.as_buffer())
+                out[np.cumsum(steps)] += counts
         return pa.table([*rows.columns[:-1], pa.array(out)], names=[*shown, count])
 
     packed = source.mapInArrow(pack, "bucket int, pack string, pieces binary, numbers binary, rest binary")
-    summed = packed.groupBy("bucket").applyInArrow(lambda t: _summed(t, load(tokenizer_path, whole)), "pack string, docs binary, counts binary, rest binary")
+    summed = packed.groupBy("bucket").applyInArrow(lambda t: _summed(t, load(tokenizer_path, whole)), "pack string, sums binary, rest binary")
     return summed.groupBy("pack").applyInArrow(unite, T.StructType([*(source.schema[c] for c in shown), T.StructField(count, T.LongType())]))
