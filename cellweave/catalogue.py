@@ -279,19 +279,50 @@ def cluster_terms(spark, sf_dir):
     return from_request(df, request).select("cluster_rank", F.array_join(kinds, ",").alias("kinds"))
 
 
+@query(
+    f"""WITH RECURSIVE {sql_clusters(ClusterParams(zoom=1))}, member AS (SELECT cluster_rank, unnest(members) AS m FROM clusters),
+    own AS (SELECT cluster_rank, event_type, user_id, value, 25 * floor(value / 25) AS low FROM celled JOIN member ON cell = m),
+    kind AS (SELECT cluster_rank, event_type, count(*) AS times, count(DISTINCT user_id) AS users FROM own GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY cluster_rank ORDER BY times DESC, event_type) AS place FROM kind),
+    step AS (SELECT cluster_rank, event_type, low, count(*) AS n, round(sum(value), 2) AS total FROM own WHERE value IS NOT NULL GROUP BY ALL),
+    inner_ AS (SELECT cluster_rank, event_type, string_agg(CAST(low AS INTEGER) || ':' || n || ':' || total, ';' ORDER BY low) AS steps FROM step GROUP BY ALL),
+    kinds AS (SELECT cluster_rank, string_agg(event_type || '=' || times || '/' || users || '[' || coalesce(steps, '') || ']', ',' ORDER BY place) AS kinds FROM placed LEFT JOIN inner_ USING (cluster_rank, event_type) WHERE place <= 2 GROUP BY cluster_rank),
+    upper_ AS (SELECT cluster_rank, count(*) FILTER (value >= 50) AS high, round(max(value) FILTER (value >= 50), 4) AS most FROM own GROUP BY cluster_rank)
+    SELECT CAST(cluster_rank AS INTEGER) AS cluster_rank, kinds, high, most FROM kinds JOIN upper_ USING (cluster_rank)"""
+)
+def cluster_nested(spark, sf_dir):
+    steps = {"steps": {"histogram": {"field": "value", "interval": 25}, "aggs": {"total": {"sum": {"field": "value"}}}}, "users": {"cardinality": {"field": "user_id", "exact": True}}}
+    aggs = {"kinds": {"terms": {"field": "event_type", "size": 2}, "aggs": steps}, "high": {"filter": {"range": {"value": {"gte": 50}}}, "aggs": {"most": {"max": {"field": "value"}}}}}
+    df = points(spark, sf_dir).withColumn("point", point(F.col("lat"), F.col("lon")))
+    out = from_request(df, {"geo_point_clustering": {"field": "point", "zoom": 1}, "aggs": aggs})
+    step = lambda h: F.concat_ws(":", h["key"].cast("int").cast("string"), h["doc_count"].cast("string"), F.round(h["total"], 2).cast("string"))
+    kind = lambda t: F.concat(t["key"], F.lit("="), t["doc_count"], F.lit("/"), t["users"], F.lit("["), F.array_join(F.coalesce(F.transform(t["steps"], step), F.array()), ";"), F.lit("]"))
+    return out.select("cluster_rank", F.array_join(F.transform("kinds", kind), ",").alias("kinds"), F.col("high.doc_count").alias("high"), F.round("high.most", 4).alias("most"))
+
+
 @query(
     f"""WITH RECURSIVE {sql_clusters(ClusterParams(zoom=2))}
-    SELECT CAST(cluster_rank AS INTEGER) AS cluster_rank, '{{"geohash_grids":["' || array_to_string(list_transform(list_sort(members, 'DESC'), lambda m: {sql_geohash('m', ClusterParams(zoom=2).level)}), '","') || '"],"doc_count":' || n || '}}' AS json FROM clusters"""
+    SELECT CAST(cluster_rank AS INTEGER) AS cluster_rank, '{{"geohash_grids":["' || array_to_string(list_transform(list_sort(members, 'DESC'), lambda m: {sql_geohash('m', ClusterParams(zoom=2).level)}), '","') || '"],"doc_count":' || n || ',"centroid":{{"lat":' || round(lat, 3) || ',"lon":' || round(lon, 3) || '}}}}' AS json FROM clusters"""
 )
 def cluster_json(spark, sf_dir):
     out = geo_point_clustering(points(spark, sf_dir), ("lat", "lon"), zoom=2)
-    return with_json(out.drop("centroid")).select("cluster_rank", "json")
+    near = F.struct(F.round("centroid.lat", 3).alias("lat"), F.round("centroid.lon", 3).alias("lon"))
+    return with_json(out.withColumn("centroid", near)).select("cluster_rank", "json")
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {sql_clusters(ClusterParams(zoom=1), where=f"substr(md5('11:' || event_id), 1, 8) < '{int(0.1 * (1 << 32)):08x}'")},
+    member AS (SELECT cluster_rank, unnest(members) AS m FROM clusters),
+    kind AS (SELECT cluster_rank, event_type, count(*) AS times, sum(value) AS total FROM celled JOIN member ON cell = m GROUP BY ALL)
+    SELECT CAST(cluster_rank AS INTEGER) AS cluster_rank, CAST(sum(times) * 10 AS BIGINT) AS doc_count, round(sum(total) * 10, 3) AS total,
+           string_agg(event_type || '=' || times * 10 || ':' || round(total * 10, 2), ',' ORDER BY event_type) AS kinds FROM kind GROUP BY cluster_rank"""
+)
 def cluster_sampled(spark, sf_dir):
-    """Counts of a tenth of the rows, scaled up: which rows are read is up to the sampler, so there is no SQL."""
-    return flat(geo_point_clustering(points(spark, sf_dir), ("lat", "lon"), zoom=1, sample=0.1, seed=11))
+    """A tenth of the rows, told by a hash of their key; counts and sums are scaled up at both levels."""
+    kinds = {"kinds": {"terms": {"field": "event_type", "order": {"_key": "asc"}}, "aggs": {"total": {"sum": {"field": "value"}}}}}
+    out = geo_point_clustering(points(spark, sf_dir), ("lat", "lon"), zoom=1, metrics={"total": ("sum", "value")}, aggs=kinds, sample=0.1, sample_key="event_id", seed=11)
+    kind = lambda t: F.concat(t["key"], F.lit("="), t["doc_count"], F.lit(":"), F.round(t["total"], 2))
+    return out.select("cluster_rank", "doc_count", F.round("total", 3).alias("total"), F.array_join(F.transform("kinds", kind), ",").alias("kinds"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

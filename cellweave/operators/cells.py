@@ -51,8 +51,11 @@ def located_columns(df: DataFrame, lat: str, lon: str, level: int) -> DataFrame:
     return g.with_cell(df.withColumns({"__lat": y, "__lon": x}), "__lat", "__lon", level, "__cell")
 
 
-def aggregate(points: DataFrame, by: Sequence[str] = (), metrics: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
-    """A row for each cell: by, cell, doc_count, lat, lon, and the parts of metrics.  Sums of whole numbers: the same whatever the partitions."""
+def aggregate(points: DataFrame, by: Sequence[str] = (), metrics: Mapping[str, tuple[str, str]] | None = None, weight: str | None = None) -> DataFrame:
+    """A row for each cell: by, cell, doc_count, lat, lon, and the parts of metrics.  Sums of whole numbers: the same whatever the partitions.
+
+    weight: a column of whole numbers, how many documents a row stands for (a null, or less than 1, for one); centroids follow it.
+    """
     parts = []
     for name, (kind, column) in (metrics or {}).items():
         if kind not in METRICS:
@@ -64,7 +67,11 @@ def aggregate(points: DataFrame, by: Sequence[str] = (), metrics: Mapping[str, t
             parts.append(F.count(value).cast("double").alias(f"{name}__count"))
         if kind in ("min", "max"):
             parts.append((F.min if kind == "min" else F.max)(value).alias(f"{name}__{kind}"))
-    out = points.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"), F.sum("__lat").alias("__lat"), F.sum("__lon").alias("__lon"), *parts)
+    n, sums = F.count(F.lit(1)), [F.sum(x).alias(x) for x in ("__lat", "__lon")]
+    if weight is not None:
+        times = F.greatest(F.coalesce(F.col(weight).cast("bigint"), F.lit(1)), F.lit(1))
+        n, sums = F.sum(times), [F.sum(F.col(x) * times).alias(x) for x in ("__lat", "__lon")]
+    out = points.groupBy(*by, "__cell").agg(n.alias("__n"), *sums, *parts)
     lat, lon = g.degrees_lat(F.col("__lat") / F.col("__n")), g.degrees_lon(F.col("__lon") / F.col("__n"))
     return out.withColumn("__lat", lat).withColumn("__lon", lon)
 

@@ -3,17 +3,20 @@
 import math
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import geohash as g
-from cellweave.operators.clustering import from_request, geo_point_clustering
+from cellweave.operators.clustering import from_request, geo_point_clustering, sampled
 from cellweave.operators.merge import merge_cells
+from cellweave.operators.subaggs import predicate
 from cellweave.plans.params import ClusterParams
+from cellweave.search import search
 from cellweave.sources.points import POINT, bounding_box
-from cellweave.sources.response import to_response, with_json
+from cellweave.sources.response import same_result, to_response, with_json
 
 # fixed values: fifteen places in and around a city, as (lon, lat)
 PLACES = [
@@ -308,3 +311,117 @@ def test_only_used_columns_and_rows_are_read(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").withColumnsRenamed({"s_acctbal": "lat", "s_suppkey": "lon"})
     plan = geo_point_clustering(df.where("lat > 10"), ("lat", "lon"))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[.*IsNotNull\(s_acctbal", plan) and "s_name" not in plan
+
+
+def test_trees_of_aggregations(spark, places):
+    df = places.withColumn("odd", F.col("id") % 2).withColumn("day", F.expr("timestamp '2024-01-30 12:00:00' + make_interval(0, 0, 0, cast(id as int))"))
+    aggs = {
+        "kinds": {"terms": {"field": "odd", "order": {"_key": "asc"}}, "aggs": {"mean": {"avg": {"field": "id"}}, "low": {"filter": {"range": {"id": {"lt": 5}}}, "aggs": {"n": {"value_count": {"field": "id"}}}}}},
+        "steps": {"histogram": {"field": "id", "interval": 5}},
+        "months": {"date_histogram": {"field": "day", "calendar_interval": "month"}},
+        "days": {"date_histogram": {"field": "day", "fixed_interval": "2d"}},
+        "parts": {"range": {"field": "id", "ranges": [{"to": 5}, {"from": 3, "to": 9, "key": "middle"}]}},
+        "two": {"filters": {"filters": {"one": {"term": {"id": 1}}, "none": {"bool": {"must_not": {"exists": {"field": "id"}}}}}}},
+        "gone": {"missing": {"field": "id"}},
+        "first": {"top_hits": {"size": 2, "sort": [{"id": "desc"}], "_source": ["id"]}},
+        "all": {"extended_stats": {"field": "id"}},
+        "p": {"percentiles": {"field": "id", "percents": [50], "exact": True}},
+    }
+    response = to_response(from_request(df, {"geo_point_clustering": {"field": "point", "zoom": 9}, "aggs": aggs}))
+    first, second = response["aggregations"]["clusters"]["buckets"]
+    ids = {0: [1, 6, 7, 8, 9, 10, 11, 12, 15], 1: [2, 3, 4, 5, 13, 14]}
+    for bucket, own in ((first, ids[0]), (second, ids[1])):
+        for kind in bucket["kinds"]["buckets"]:
+            mine = [i for i in own if i % 2 == int(kind["key"])]
+            assert kind["doc_count"] == len(mine) and kind["mean"]["value"] == pytest.approx(sum(mine) / len(mine))
+            low = [i for i in mine if i < 5]
+            assert kind["low"] == {"doc_count": len(low), "n": {"value": len(low) or kind["low"]["n"]["value"]}}
+        assert [(b["key"], b["doc_count"]) for b in bucket["steps"]["buckets"]] == sorted((5.0 * k, sum(i // 5 == k for i in own)) for k in {i // 5 for i in own})
+        assert {b["key"]: b["doc_count"] for b in bucket["parts"]["buckets"]} == {k: n for k, n in (("*-5.0", sum(i < 5 for i in own)), ("middle", sum(3 <= i < 9 for i in own))) if n}
+        assert {k: b["doc_count"] for k, b in bucket["two"]["buckets"].items()} == {"one": int(1 in own), "none": 0}
+        assert bucket["gone"] == {"doc_count": 0}
+        assert [h["id"] for h in bucket["first"]["hits"]] == sorted(own)[-2:][::-1]
+        assert (bucket["all"]["count"], bucket["all"]["sum"], bucket["all"]["sum_of_squares"]) == (len(own), sum(own), sum(i * i for i in own))
+        assert bucket["p"]["value"] == [np.median(own)]
+        assert sum(b["doc_count"] for b in bucket["days"]["buckets"]) == len(own) == sum(b["doc_count"] for b in bucket["months"]["buckets"])
+    for bad in ({"x": {"avg": {"field": "id"}, "aggs": {"y": {"avg": {"field": "id"}}}}}, {"x": {"terms": {"field": "id"}, "aggs": {"y": {"nothing": {}}}}}):
+        with pytest.raises(ValueError):
+            from_request(df, {"geo_point_clustering": {"field": "point"}, "aggs": bad})
+
+
+def test_predicates(spark):
+    df = spark.createDataFrame([(1, "a", (1.0, 1.0)), (2, "b", (5.0, 5.0)), (None, None, None)], "n int, s string, p struct<lat:double,lon:double>").withColumn("row", F.monotonically_increasing_id())
+    chosen = lambda q: sorted(str(r.n) for r in df.where(predicate(q)).collect())
+    assert chosen({"match_all": {}}) == ["1", "2", "None"]
+    assert chosen({"term": {"s": "a"}}) == ["1"] and chosen({"terms": {"n": [1, 2]}}) == ["1", "2"]
+    assert chosen({"range": {"n": {"gt": 1, "lte": 2}}}) == ["2"] and chosen({"exists": {"field": "s"}}) == ["1", "2"]
+    assert chosen({"bool": {"must_not": [{"term": {"s": "a"}}]}}) == ["2", "None"]
+    assert chosen({"bool": {"should": [{"term": {"s": "a"}}, {"term": {"n": 2}}]}}) == ["1", "2"]
+    assert chosen({"geo_bounding_box": {"p": {"top_left": [0, 2], "bottom_right": {"lat": 0, "lon": 2}}}}) == ["1"]
+    assert chosen({"geo_bounding_box": {"p": {"top": 2, "left": 0, "bottom": 0, "right": 2}}}) == ["1"]
+    for bad in ({}, {"near": {"s": 1}}, {"bool": {"might": []}}):
+        with pytest.raises(ValueError):
+            predicate(bad)
+
+
+def test_search_counts_its_hits(spark, places):
+    more = places.select("id", "point").union(spark.createDataFrame([(99, None)], "id long, point struct<lat:double,lon:double>"))
+    inner = {"geo_point_clustering": {"field": "point", "zoom": 9, "size": 1}, "aggs": {"mean": {"avg": {"field": "id"}}}, "meta": {"x": 1}}
+    out = search(more, {"size": 0, "aggs": {"map": inner}})
+    assert out["hits"]["total"]["value"] == 16 and [b["doc_count"] for b in out["aggregations"]["map"]["buckets"]] == [1] and out["aggregations"]["map"]["meta"] == {"x": 1}
+    box = {"bool": {"must": {"match_all": {}}, "filter": {"geo_bounding_box": {"point": {"top_left": [2.23, 48.88], "bottom_right": [2.29, 48.84]}}}}}
+    out = search(more, {"size": 0, "query": box, "aggs": {"map": {"geo_point_clustering": {"field": "point", "zoom": 9}}}})
+    assert out["hits"]["total"]["value"] == 6 and [b["doc_count"] for b in out["aggregations"]["map"]["buckets"]] == [6]
+    for bad in ({"size": 3}, {"from": 1}):
+        with pytest.raises(ValueError):
+            search(more, bad)
+
+
+def test_buckets_are_counted_over_all_groups(places):
+    df = places.withColumn("half", F.col("id") % 2)
+    n = geo_point_clustering(df, "point", zoom=9, by=["half"]).count()
+    assert geo_point_clustering(df, "point", zoom=9, by=["half"], max_buckets=n).count() == n
+    with pytest.raises(ValueError, match="buckets"):
+        geo_point_clustering(df, "point", zoom=9, by=["half"], max_buckets=n - 1)
+
+
+def test_weights(places):
+    df = places.withColumn("times", F.when(F.col("id") % 3 == 0, F.col("id")))
+    twice = places.withColumn("times", F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1))))
+    got, want = (ordered(geo_point_clustering(d, "point", zoom=9, aggs={"k": {"terms": {"field": "id", "size": 3}}}, **k)) for d, k in ((df, {"weight": "times"}), (twice, {})))
+    assert [(r.doc_count, r.geohash_grids, r.k) for r in got] == [(r.doc_count, r.geohash_grids, r.k) for r in want]
+    assert all(a.centroid == pytest.approx(b.centroid) for a, b in zip(got, want))
+
+
+def test_rising_order_and_equal_results(places):
+    down, up = (geo_point_clustering(places, "point", zoom=11, order=o) for o in ("falling", "rising"))
+    assert [r.key for r in ordered(up)] == [r.key for r in ordered(down)][::-1]
+    assert same_result(down, geo_point_clustering(places.repartition(5), "point", zoom=11))
+    assert not same_result(down, up) and not same_result(down, geo_point_clustering(places, "point", zoom=10)) and not same_result(down, down.drop("doc_count"))
+    moved = down.withColumn("centroid", F.struct(F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")))
+    assert same_result(down, moved)
+    with pytest.raises(ValueError):
+        geo_point_clustering(places, "point", order="sideways")
+
+
+def test_sample_by_key_scales_every_level(spark):
+    df = spark.range(8000).select("id", F.struct(F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon")).alias("point"), (F.col("id") % 2).cast("string").alias("kind"))
+    aggs = {"kinds": {"terms": {"field": "kind"}, "aggs": {"n": {"value_count": {"field": "id"}}, "s": {"stats": {"field": "id"}}}}}
+    one, two = (ordered(geo_point_clustering(d, "point", sample=0.25, sample_key="id", seed=3, aggs=aggs)) for d in (df, df.repartition(7)))
+    assert one == two
+    (r,) = one
+    read = df.where(sampled(F.col("id"), 0.25, 3))
+    assert r.doc_count == 4 * read.count() and abs(r.doc_count - 8000) < 800
+    for k in r.kinds:
+        mine = read.where(F.col("kind") == k["key"])
+        assert k["doc_count"] == k["n"] == k["s"]["count"] == 4 * mine.count() and k["s"]["sum"] == 4 * mine.agg(F.sum("id")).first()[0]
+
+
+def test_parameters_copied():
+    p = ClusterParams(zoom=3)
+    assert replace(p, radius=50) == ClusterParams(zoom=3, radius=50) and replace(p) == p
+
+
+def test_merge_is_planned_once(places):
+    plan = geo_point_clustering(places, "point", zoom=9, aggs={"d": {"cardinality": {"field": "id"}}})._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
