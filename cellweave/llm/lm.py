@@ -1,9 +1,9 @@
 """Language-model scoring: an interpolated modified Kneser-Ney model of pairs of words.
 
 Counted in Spark, in two rounds.  The first counts words, dealt by ranges of their 64-bit hash; sorted, a word's place is its
-number.  The second counts pairs of numbers, dealt by the first of the two; the commonest first words are dealt out further by
-the second.  Tasks add up what they see before they send it, in packed arrays, and each bucket's sorted arrays go to one file
-in the shared folder.  Workers map these files into memory and look up whole blocks of pairs at a time.
+number.  The second counts pairs of numbers, dealt by the first of the two; common first words are dealt out further by
+the second, into as many parts as their counts ask for.  Tasks add up what they see before they send it, in packed arrays, and each bucket's sorted arrays go to one file
+in the shared folder.  Workers map these files into memory, a bounded number at a time, and look up whole blocks of pairs.
 
 A text's tokens are its words, A-Z in lower case, and one end.  The first word follows a begin mark, which is no token.
 p(w | v) = (c(v w) - D) / c(v) + gamma(v) p(w), with the three discounts of modified Kneser-Ney, and p(w) from the number of
@@ -12,14 +12,14 @@ words that w follows, in the same way, over a uniform share for each word and on
 The order is two: counts of triples, which hardly repeat in such text, would take more disk than all else together.
 
 Cases: null and empty texts are one end; rows whose key is null are trained on; without training rows all tokens are
-unknown; repeated rows count as often as they stand.
+unknown; repeated rows count as often as they stand; very long texts are read whole; of extra columns none is read.  More than
+2^32 - 1 distinct words are an error.
 """
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .blocks import byte_class, cut, mix, words
-from .shared import keep, path
+from .shared import forget, keep, path
 
 #: Distinct entries that a task adds up before it sends them.
 HELD = 1_500_000
 #: Bytes of text whose pairs a bucket gets at most, about.
 BUCKET_BYTES = 32 << 20
-#: Parts that a very common word's pairs are dealt into.
-SALT = 16
+#: First words seen more often than this, and more often than half a bucket's share, have their pairs dealt into parts.
+COMMON = 1000
 _TABLE = byte_class(lower=True, alnum=False)
 _END = np.uint64(0x5DEECE66D1234567)
 _BEGIN = 0xFFFFFFFF
@@ -129,37 +129,34 @@ def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Words by ranges of their hash: a file for each bucket, with sorted hashes and counts."""
+    """Words by ranges of their hash: a file for each bucket, with sorted hashes and counts, and one with the number of each bucket's first word."""
 
     folder: str
     buckets: int
-    layouts: dict
-    first: np.ndarray  # number of each bucket's first word
-    total: int
-    frequent: tuple = ()  # (number, count) of each bucket's commonest words
+    size: int = 0
+    total: int = 0
 
     @property
-    def size(self) -> int:
-        return int(self.first[-1])
+    def first(self) -> np.ndarray:
+        return arrays.load(f"{self.folder}/first")["first"]
 
     def bucket_of(self, hashes: np.ndarray) -> np.ndarray:
         return ((hashes >> np.uint64(40)) * np.uint64(self.buckets) >> np.uint64(24)).astype(np.int64)
 
-    def _file(self, b: int) -> dict[str, np.ndarray]:
-        return arrays.load(f"{self.folder}/words-{b}", self.layouts[b])
+    def _file(self, b: int) -> dict[str, np.ndarray] | None:
+        return arrays.load(f"{self.folder}/words-{b}")
 
     def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 if unknown) and count of each hash."""
         distinct, back = np.unique(hashes, return_inverse=True)
         out, count = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
-        bucket = self.bucket_of(distinct)
+        bucket, first = self.bucket_of(distinct), self.first
         for b, a, z in _runs(bucket):
-            if b in self.layouts:
-                f = self._file(b)
+            if f := self._file(b):
                 at = np.searchsorted(f["keys"], distinct[a:z])
                 at[at == len(f["keys"])] = 0
                 known = f["keys"][at] == distinct[a:z]
-                out[a:z] = np.where(known, at + self.first[b], -1)
+                out[a:z] = np.where(known, at + first[b], -1)
                 count[a:z] = np.where(known, f["counts"][at], 0)
         return out[back], count[back]
 
@@ -172,7 +169,7 @@ def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def count_words(docs: DataFrame, folder: str, buckets: int) -> Vocabulary:
     """Words of docs (text)."""
-    shape = Vocabulary(folder, buckets, {}, np.zeros(1, np.int64), 0)
+    shape = Vocabulary(folder, buckets)
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(shape.bucket_of)
@@ -184,18 +181,38 @@ def count_words(docs: DataFrame, folder: str, buckets: int) -> Vocabulary:
     def store(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
         keys, counts = _unpack(table)
-        layout = arrays.save(f"{folder}/words-{b}", {"keys": keys, "counts": _narrow(counts)})
-        top = np.argsort(counts)[-64:]
-        top = repr([(int(i), int(counts[i])) for i in top])
-        return pa.table({"bucket": pa.array([b], pa.int32()), "top": [top], "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum(dtype=np.int64))], pa.int64()), "layout": pa.array([repr(layout)])})
-
-    rows = docs.select("text").mapInArrow(see, _PACKED).groupBy("bucket").applyInArrow(store, "bucket int, top string, n bigint, total bigint, layout string").collect()
-    n = np.zeros(buckets, np.int64)
-    for r in rows:
+        arrays.save(f"{folder}/words-{b}", {"keys": keys, "counts": _narrow(counts)})
+        return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum(dtype=np.int64))], pa.int64())})
+
+    rows = docs.select("text").mapInArrow(see, _PACKED).groupBy("bucket").applyInArrow(store, "bucket int, n bigint, total bigint")
+    n, total = np.zeros(buckets, np.int64), 0
+    for r in rows.toLocalIterator():  # three numbers a bucket of BUCKET_BYTES of text
         n[r["bucket"]] = r["n"]
-    first = np.concatenate([[0], np.cumsum(n)])
-    frequent = tuple((int(first[r["bucket"]]) + i, c) for r in rows for i, c in ast.literal_eval(r["top"]))
-    return Vocabulary(folder, buckets, {r["bucket"]: ast.literal_eval(r["layout"]) for r in rows}, first, sum(r["total"] for r in rows), frequent)
+        total += r["total"]
+    arrays.save(f"{folder}/first", {"first": np.concatenate([[0], np.cumsum(n)])})
+    return Vocabulary(folder, buckets, int(n.sum()), total)
+
+
+def common_words(docs: DataFrame, vocabulary: Vocabulary, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, parts) of the words whose pairs would fill a bucket, and of the begin mark, which as many words follow as there are texts.
+
+    A part has about half a bucket's share, so there are at most twice as many parts as buckets, and words.
+    """
+    most = max(COMMON, vocabulary.total // (2 * vocabulary.buckets))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = vocabulary.first
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                if f := vocabulary._file(b):
+                    at = np.flatnonzero(f["counts"] > most)
+                    yield pa.RecordBatch.from_arrays([pa.array(at + first[b]), pa.array(f["counts"][at].astype(np.int64))], names=["word", "n"])
+
+    spark = docs.sparkSession
+    rows = spark.range(vocabulary.buckets).mapInArrow(look, "word bigint, n bigint").collect()
+    found = {_BEGIN: texts, **{r["word"]: r["n"] for r in rows}}
+    words = np.array(sorted(found), np.uint64)
+    return words, np.array([max(1, -(-found[int(w)] // most)) for w in words], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -205,8 +222,7 @@ class Model:
     words: Vocabulary
     buckets: int
     common: np.ndarray  # first words that are dealt out further
-    pairs: dict  # layouts by bucket
-    follows: dict  # layouts by range of word numbers
+    parts: np.ndarray  # into how many parts
     common_sums: np.ndarray  # (total, once, twice, more) of the common words
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
@@ -214,7 +230,7 @@ class Model:
     per_range: int
 
     def bucket_of(self, keys: np.ndarray) -> np.ndarray:
-        return pair_bucket(keys, self.common, self.buckets)
+        return pair_bucket(keys, self.common, self.parts, self.buckets)
 
     def _follow_probability(self, w: np.ndarray) -> np.ndarray:
         """p(w) by the words that w follows; w = -1 is unknown."""
@@ -222,8 +238,7 @@ class Model:
         seen = np.zeros(len(distinct), np.int64)
         known = np.flatnonzero(distinct >= 0)
         for b, a, z in _runs(distinct[known] // self.per_range):
-            if b in self.follows:
-                f = arrays.load(f"{self.words.folder}/follows-{b}", self.follows[b])
+            if f := arrays.load(f"{self.words.folder}/follows-{b}"):
                 seen[known[a:z]] = f["counts"][distinct[known[a:z]] - b * self.per_range]
         total, once, twice, more = self.word_sums
         d = self.word_discounts
@@ -244,9 +259,8 @@ class Model:
         bucket = self.bucket_of(distinct)
         order = np.argsort(bucket, kind="stable")
         for b, a, z in _runs(bucket[order]):
-            if b not in self.pairs:
+            if not (f := arrays.load(f"{self.words.folder}/pairs-{b}")):
                 continue
-            f = arrays.load(f"{self.words.folder}/pairs-{b}", self.pairs[b])
             mine = order[a:z]
             for name, counts in (("once", None), ("keys", "counts")):
                 if len(f[name]):
@@ -271,11 +285,14 @@ class Model:
         return np.log10(np.maximum(count - _discount(count, d), 0) / total + left * lower)
 
 
-def pair_bucket(keys: np.ndarray, common: np.ndarray, buckets: int) -> np.ndarray:
-    """A pair's bucket: by its first word, by both for common first words."""
+def pair_bucket(keys: np.ndarray, common: np.ndarray, parts: np.ndarray, buckets: int) -> np.ndarray:
+    """A pair's bucket: by its first word, and for common first words by its part."""
     first = keys >> np.uint64(32)
-    salt = np.where(np.isin(first, common), mix(keys & np.uint64(0xFFFFFFFF)) % np.uint64(SALT) + np.uint64(1), np.uint64(0))
-    return (mix(first * np.uint64(SALT + 1) + salt) % np.uint64(buckets)).astype(np.int64)
+    at = np.searchsorted(common, first)
+    at[at == len(common)] = 0
+    n = np.where(common[at] == first, parts[at], np.uint64(0)) if len(common) else np.zeros(len(keys), np.uint64)
+    part = np.where(n > 0, mix(keys & np.uint64(0xFFFFFFFF)) % np.maximum(n, np.uint64(1)) + np.uint64(1), np.uint64(0))
+    return (mix(mix(first) + part) % np.uint64(buckets)).astype(np.int64)
 
 
 def _before(number: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -290,19 +307,17 @@ def train(docs: DataFrame, *, buckets: int | None = None) -> Model:
     spark = docs.sparkSession
     folder = path(spark, "language model")
     arrays.make_folder(folder)
+    total, texts = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     if buckets is None:
-        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+        buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // BUCKET_BYTES))
     vocabulary = count_words(docs, folder, buckets)
     if vocabulary.size >= _BEGIN:
         raise ValueError("more distinct words than 32-bit numbers")
-    # words so common that their pairs would fill a bucket, and the begin mark
-    common = np.array(sorted({_BEGIN, *(i for i, n in vocabulary.frequent if n > max(1000, vocabulary.total / (2 * buckets)))}), np.uint64)
-    vocabulary = replace(vocabulary, frequent=())
+    common, parts = common_words(docs, vocabulary, texts)
     per_range = max(1, -(-vocabulary.size // buckets))
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(lambda keys: pair_bucket(keys, common, buckets))
+        sums = _Sums(lambda keys: pair_bucket(keys, common, parts, buckets))
         for batch in batches:
             for block in cut(batch):
                 hashes, first = tokens(block.data, block.offsets)
@@ -319,38 +334,38 @@ def train(docs: DataFrame, *, buckets: int | None = None) -> Model:
         sums = np.add.reduceat(per_key, at, axis=0)
         firsts = first[at]
         shared = np.isin(firsts.astype(np.uint64), common)
-        layout = arrays.save(f"{folder}/pairs-{b}", {"once": keys[counts == 1], "keys": keys[counts > 1], "counts": _narrow(counts[counts > 1]), "first": firsts[~shared], "sums": sums[~shared].ravel()})
+        arrays.save(f"{folder}/pairs-{b}", {"once": keys[counts == 1], "keys": keys[counts > 1], "counts": _narrow(counts[counts > 1]), "first": firsts[~shared], "sums": sums[~shared].ravel()})
         second, n = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
         place = second.astype(np.int64) // per_range
         rows = [("range", r, second[a:z].astype(np.uint32).tobytes(), n[a:z].astype(np.uint32).tobytes(), None) for r, a, z in _runs(place)]
-        rows += [("sums", int(w), s.tobytes(), None, None) for w, s in zip(firsts[shared], sums[shared])]
-        rows.append(("file", b, np.array(_histogram(counts), np.int64).tobytes(), None, repr(layout)))
-        kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["kind", "bucket", "keys", "counts", "layout"])
+        rows += [("sums", int(w), None, None, x.tolist()) for w, x in zip(firsts[shared], sums[shared])]
+        rows.append(("seen", -1, None, None, _histogram(counts)))
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["kind", "bucket", "keys", "counts", "n"])
 
-    rows = docs.select("text").mapInArrow(see, _PACKED).groupBy("bucket").applyInArrow(store, "kind string, bucket bigint, keys binary, counts binary, layout string")
+    rows = docs.select("text").mapInArrow(see, _PACKED).groupBy("bucket").applyInArrow(store, "kind string, bucket bigint, keys binary, counts binary, n array<bigint>")
     rows = keep(rows, "pair counts")
-    pairs, seen = {}, np.zeros(4, np.int64)
-    sums = np.zeros((len(common), 4), np.int64)
-    for r in rows.where("kind <> 'range'").select("kind", "bucket", "keys", "layout").toLocalIterator():  # a file a bucket; SALT rows a common word
-        values = np.frombuffer(r["keys"], np.int64)
-        if r["kind"] == "file":
-            pairs[r["bucket"]] = ast.literal_eval(r["layout"])
+    seen, sums = np.zeros(4, np.int64), np.zeros((len(common), 4), np.int64)
+    added = rows.where("kind <> 'range'").groupBy("kind", "bucket").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(4)])
+    for kind, word, *values in map(tuple, added.collect()):  # a row a common word, and one
+        if kind == "seen":
             seen += values
         else:
-            sums[np.searchsorted(common, np.uint64(r["bucket"]))] += values
+            sums[np.searchsorted(common, np.uint64(word))] += values
 
     def follow(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
         word, n = _unpack(table, np.uint32)
         counts = np.zeros(per_range, np.uint32)
         counts[word.astype(np.int64) - b * per_range] = n
-        layout = arrays.save(f"{folder}/follows-{b}", {"counts": counts})
-        return pa.table({"bucket": [b], "n": [[int(n.sum(dtype=np.int64)), *_histogram(n), int((n > 2).sum())]], "layout": [repr(layout)]}, schema=pa.schema([("bucket", pa.int64()), ("n", pa.list_(pa.int64())), ("layout", pa.string())]))
-
-    done = rows.where("kind = 'range'").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(follow, "bucket bigint, n array<bigint>, layout string").collect()
-    n = np.sum([r["n"] for r in done], axis=0) if done else np.zeros(6, np.int64)
-    return Model(vocabulary, buckets, common, pairs, {r["bucket"]: ast.literal_eval(r["layout"]) for r in done}, sums, discounts(seen.tolist()), discounts([int(x) for x in n[1:5]]), (int(n[0]), int(n[1]), int(n[2]), int(n[5])), per_range)
+        arrays.save(f"{folder}/follows-{b}", {"counts": counts})
+        values = [int(n.sum(dtype=np.int64)), *_histogram(n), int((n > 2).sum())]
+        return pa.table([pa.array([x], pa.int64()) for x in values], names=[f"n{i}" for i in range(6)])
+
+    done = rows.where("kind = 'range'").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(follow, ", ".join(f"n{i} bigint" for i in range(6)))
+    n = [int(x or 0) for x in done.agg(*[F.sum(f"n{i}") for i in range(6)]).first()]
+    forget(rows)
+    return Model(vocabulary, buckets, common, parts, sums, discounts(seen.tolist()), discounts(n[1:5]), (n[0], n[1], n[2], n[5]), per_range)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,9 +2,10 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from cellweave.llm import lm
+from cellweave.llm import arrays, lm
 
 from .conftest import crc
 
@@ -46,14 +47,17 @@ def brute(train, texts):
     return out, p, words
 
 
-@pytest.mark.parametrize("name", ["odd_docs", "docs"])
-def test_matches_brute_force(request, name):
+@pytest.mark.parametrize("name,buckets", [("odd_docs", None), ("docs", None), ("docs", 300)])
+def test_matches_brute_force(request, monkeypatch, name, buckets):
+    """With 300 buckets there are more files than a worker keeps open, and more common words."""
+    monkeypatch.setattr(lm, "COMMON", 1000 if buckets is None else 20)
     docs = request.getfixturevalue(name)
     if name == "docs":
         docs = docs.where("doc_id < 300")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     train = [t for i, t in rows if i is None or crc(i, 7) != 2]
-    model = lm.train(docs.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"))
+    model = lm.train(docs.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"), buckets=buckets)
+    assert buckets is None or 3 * buckets > arrays.OPEN_FILES and len(model.common) > 10 and model.parts.max() > 1
     got = {}
     for r in lm.score(docs, model).collect():
         got.setdefault(r.doc_id, []).append(tuple(r)[1:])
@@ -80,3 +84,14 @@ def test_nothing_to_learn_from(no_docs, odd_docs):
     model = lm.train(no_docs)
     assert {r.n_known for r in lm.score(odd_docs, model).collect()} == {0}
     assert lm.score(no_docs, model).collect() == []
+
+
+def test_files_of_arrays(tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "OPEN_FILES", 3)
+    arrays._open.clear()
+    for i in range(9):
+        arrays.save(f"file://{tmp_path}/{i}", {"a": np.arange(i), "b": np.full(i, 7, np.uint32)})
+    for i in [*range(9), 3, 8, 3]:
+        got = arrays.load(f"{tmp_path}/{i}")
+        assert got["a"].tolist() == list(range(i)) and got["b"].tolist() == [7] * i and len(arrays._open) <= 3
+    assert arrays.load(f"{tmp_path}/none") is None
