@@ -7,7 +7,8 @@ Slots number the rows of a shard from 0 without gaps.  No task sees a whole shar
 numbered inside their chunk, and moved up by the counts of the chunks before it.
 
 Cases: a null key has draws like any other; equal keys share a shard; null texts count no bytes and have the checksum of an
-empty text; an empty table gives an empty table.
+empty text; an empty table gives an empty table; very long texts are read for their size and checksum alone; extra columns are
+not read, whatever they are called; equal rows are numbered one after the other, in any order.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import keep
+
 #: Rows of a chunk inside which slots are numbered, about.
 CHUNK_ROWS = 4_000
+
+
 def draw(key: Column, shard: int) -> Column:
     """A number between 0 and 1 (never either) that depends on the key (as text; a null is a key of its own) and the shard."""
     return (F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit(shard)), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -55,7 +60,8 @@ def assign(df: DataFrame, weights: Sequence[float], *, key: str = "doc_id", text
         shard.alias("shard"),
         grown.alias("grown_shard"),
     )
-    chunks = max(1, -(-df.count() // (chunk_rows * len(weights))))
+    rows = keep(rows, "sharded rows")  # a few numbers a row: texts are read and draws are made once
+    chunks = max(1, -(-rows.count() // (chunk_rows * len(weights))))
     chunk = F.pmod(F.xxhash64(F.col("k").cast("string"), "text_crc32", "size"), F.lit(chunks))
     rows = rows.withColumn("chunk", chunk.cast("int"))
     before = rows.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))

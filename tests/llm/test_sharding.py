@@ -1,7 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cellweave.llm import sharding as s
@@ -44,3 +47,17 @@ def test_weights(spark):
 
 def test_empty(no_docs):
     assert s.assign(no_docs, [1.0] * 4).collect() == []
+
+
+def plain_draw(key, shard):
+    """Spark's XXH64 of a text and a whole number, one seeding the next."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", shard), xxhash.xxh64_intdigest(str(key).encode(), 42))
+    return ((h >> 12) + 0.5) / (1 << 52)
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 24, [1.0, 2.5, 0.5, 4.0]])
+def test_assignment_against_plain_python(spark, weights):
+    df = spark.range(-50, 1500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("y").alias("shard"), F.lit("z").alias("k"))
+    bid = lambda key, ws: max(range(len(ws)), key=lambda i: (ws[i] / -math.log(plain_draw(key, i)), -i))
+    for r in s.assign(df, weights).collect():
+        assert (r.shard, r.grown_shard) == (bid(r.doc_id, weights), bid(r.doc_id, [*weights, sum(weights) / len(weights)]))
