@@ -30,7 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from functools import lru_cache, reduce
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -174,15 +174,21 @@ class Grammar:
     _memory: dict = field(default_factory=dict, repr=False, compare=False)
     _clauses: dict = field(default_factory=dict, repr=False, compare=False)
 
+    @cached_property
+    def stems(self) -> frozenset[str]:
+        """The shortest fronts of all entries: most words have none of them and need no further look."""
+        return frozenset(f[: FRONTS[0]] for f in self.fronts | self.suspects)
+
     def symbol(self, word: str) -> str:
         """The lexical transducer: i insult, s suspect, h threat, t target, n negation, r report, . clause end, w other."""
         if word in (".", "!", "?", ";", ":", "\n"):
             return "."
-        if word in self.words or any(word[:n] in self.fronts for n in FRONTS if n <= len(word)):
+        known = word[: FRONTS[0]] in self.stems
+        if word in self.words or known and any(word[:n] in self.fronts for n in FRONTS if n <= len(word)):
             return "i"
         if word in THREATS:
             return "h"
-        if any(word[:n] in self.suspects for n in FRONTS if n <= len(word)):
+        if known and any(word[:n] in self.suspects for n in FRONTS if n <= len(word)):
             return "s"
         return "n" if word in NEGATIONS else "t" if word in TARGETS else "r" if word in REPORTS else "w"
 
