@@ -1,14 +1,18 @@
 """Near copies by five-word shingles: MinHash bands find candidates, an exact check decides.
 
 A text's shingles are its runs of `shingle` words (split at ASCII white space, A-Z as a-z).  It gets BANDS * ROWS least
-hashes.  The texts that share all hashes of a band are sorted by their hashes of the next band, which puts the nearest side by
-side, and each is compared with the NEIGHBOURS after it and with the first of its group: those whose sets of shingles have a
-Jaccard index of `least` or more are linked.  So a group of m texts costs NEIGHBOURS + 1 comparisons a text and never yields
-all its pairs, and a hot group is cut anywhere between two tasks (each of which has a first of its own).
+hashes.  Candidates are texts that share all hashes of a band; those whose sets of shingles have a Jaccard index of `least` or
+more are linked.  A band's group never yields all its pairs unless it is small:
 
-Two texts of index s have no band in common with probability (1 - s^ROWS)^BANDS: 3 in 100,000 at 0.8.  Groups of up to
-NEIGHBOURS + 2 texts have all their pairs compared; in larger ones a pair that is side by side in none of the bands it shares
-(eight on average) is found only through others of its group.
+* its texts are sorted by their hashes of the next band, which puts the nearest side by side, and each is compared with the
+  NEIGHBOURS after it, so that groups of up to NEIGHBOURS + 1 have all their pairs compared;
+* in larger ones each is compared with the group's hub as well: the text that stands in the largest groups, over all bands.
+  Copies that were edited apart from each other are nearer to what they were made from than to each other, and that is the hub.
+
+So a text costs (NEIGHBOURS + 1) * BANDS comparisons at most, and a hot group is cut anywhere between tasks.  Two texts of
+index s have no band in common with probability (1 - s^ROWS)^BANDS: 3 in 100,000 at 0.8.  In a group of more than NEIGHBOURS +
+1 texts, two that are near each other but not near the hub, and side by side in none of the bands they share (eight on
+average), are linked through others or not at all.
 
 Cases: texts of fewer words than a shingle, null ones too, are near no other; equal texts count as one, and copies of a text that
 is near no other stay: SimHash takes them out before.
@@ -30,8 +34,8 @@ from .shared import forget, keep, spare
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 20, 4
-#: Texts of a band's group that each is compared with, besides the group's first.
-NEIGHBOURS = 3
+#: Texts of a band's group that each is compared with, besides the group's hub.
+NEIGHBOURS = 4
 
 _WORDS = byte_class(lower=True, alnum=False)
 _SALTS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1)
@@ -82,28 +86,32 @@ def sets(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (u, v) among rows (bucket, order, text_key) sorted that way: neighbours in a bucket, and its first row with each other."""
+    """Candidates (u, v) among rows (bucket, order, text_key) sorted that way: neighbours in a bucket."""
     held = [np.empty(0, np.int64)] * 2  # the last rows, which the next batch goes on from
-    first = None  # (bucket, key) of the bucket that the last batch ended in
     for batch in batches:
-        if not batch.num_rows:
-            continue
         fresh = len(held[0])
         bucket, key = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for h, i in zip(held, (0, 2)))
-        begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        heads = key[begins]
-        if first is not None:
-            heads[bucket[begins] == first[0]] = first[1]
-        head = np.repeat(heads, np.diff(np.append(begins, len(bucket))))
-        found = [(head[fresh:], key[fresh:])]
+        found = [(key[:0], key[:0])]
         for step in range(1, NEIGHBOURS + 1):
             same = np.flatnonzero(bucket[step:] == bucket[:-step]) if len(bucket) > step else np.empty(0, np.int64)
             same = same[same + step >= fresh]
             found.append((key[same], key[same + step]))
         a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        differ = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[differ]), pa.array(np.maximum(a, b)[differ])], names=["u", "v"])
-        held, first = [bucket[-NEIGHBOURS:], key[-NEIGHBOURS:]], (bucket[-1], head[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+        held = [bucket[-NEIGHBOURS:], key[-NEIGHBOURS:]]
+
+
+def _hubs(banded: DataFrame) -> DataFrame:
+    """Candidates (u, v) of each text in a large group (bucket, text_key) and the group's hub."""
+    large = keep(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS + 1), "large groups")
+    members = keep(banded.select("bucket", "text_key").join(large, "bucket"), "members of large groups")
+    score = keep(members.groupBy("text_key").agg(F.sum("n").alias("score")), "texts in large groups")
+    scored = members.select("bucket", "text_key").join(score, "text_key")
+    hub = keep(scored.groupBy("bucket").agg(F.max(F.struct("score", "text_key")).alias("hub")).select("bucket", F.col("hub.text_key").alias("hub")), "hubs")
+    pairs = members.join(hub, "bucket").where(F.col("text_key") != F.col("hub"))
+    pairs = keep(pairs.select(F.least("text_key", "hub").alias("u"), F.greatest("text_key", "hub").alias("v")).distinct(), "texts and hubs")
+    forget(large, members, score, hub)
+    return pairs
 
 
 def links(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -114,14 +122,15 @@ def links(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST) -> D
     banded = banded.select(F.xxhash64("band", "value").alias("bucket"), F.get("bands", (F.col("band") + 1) % BANDS).alias("order"), "text_key")
     banded = keep(banded, "bands")
     dealt = banded.repartitionByRange(n, "bucket", "order", "text_key").sortWithinPartitions("bucket", "order", "text_key")
-    pairs = keep(dealt.mapInArrow(_side_by_side, "u bigint, v bigint").distinct(), "candidates")
+    hubs = _hubs(banded)
+    pairs = keep(dealt.mapInArrow(_side_by_side, "u bigint, v bigint").union(hubs).distinct(), "candidates")
     wanted = pairs.select(F.col("u").alias("text_key")).union(pairs.select("v")).distinct()
     texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
     of = keep(sets(texts, shingle=shingle), "shingles of candidates")
     a, b = (of.select(F.col("text_key").alias(k), F.col("shingles").alias(f"s_{k}")) for k in ("u", "v"))
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("s_u", "s_v")))
     near = keep(both.where(F.col("common") >= least * (F.size("s_u") + F.size("s_v") - F.col("common"))).select("u", "v"), "near links")
-    forget(banded, pairs, of)
+    forget(banded, hubs, pairs, of)
     return near
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -47,3 +48,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert left < before and not [1 for a, b in combinations(sets, 2) if near(a, b)]
     assert {x for x in before if not shingles(x[1])} <= left
     assert m.one_of_each(no_docs).collect() == []
+
+
+def test_copies_edited_apart_from_each_other(spark):
+    """Each is near the one they were made from, and hardly any near another: none stays beside it."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    source = [rng.choice(words) for _ in range(250)]
+    texts = [" ".join(source)]
+    for _ in range(400):
+        own = list(source)
+        for i in rng.sample(range(250), 5):
+            own[i] = rng.choice(words)
+        texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    assert all(near(sets[0], x) for x in sets) and sum(near(a, b) for a, b in combinations(sets[1:60], 2)) < 20
+    rows = [(i + 1, t) for i, t in enumerate(rng.sample(texts, len(texts)))] + [(1000 + i, " ".join(rng.sample(words, 200))) for i in range(50)]
+    left = {r.doc_id for r in m.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert left == {1} | set(range(1000, 1050))
