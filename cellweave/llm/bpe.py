@@ -553,7 +553,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, text: str = "text", coun
     def unite(table: pa.Table) -> pa.Table:
         rest = next(x for x in table.column("rest") if x.is_valid)
         rows = pa.ipc.open_stream(rest.as_buffer()).read_all()
-        out = rows.column("special").to_numpy().copy()
+        out = rows.column(rows.num_columns - 1).to_numpy().copy()
         for sums in table.column("sums"):
             if sums.is_valid:
                 steps, counts = _unpacked(sums.as_buffer())

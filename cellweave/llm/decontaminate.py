@@ -11,7 +11,8 @@ written as bit sets to the shared folder and united.
 
 Cases: null or wordless texts have no words, no hits; items without words have no windows; items of fewer than `span` words
 are one window each; repeated rows and texts are judged alike; of repeated item ids each counts once; a null item id is
-written as an empty string.
+written as an empty string; very long texts are searched whole; extra columns stay, whatever they are called, but for three that
+are replaced.
 """
 
 from __future__ import annotations

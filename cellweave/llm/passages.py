@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import byte_class, grams, mix, window_minima, within, words
+from .shared import spare
 
 SPAN = 13
 GRAM = 5
@@ -293,6 +294,9 @@ def remove_repeated(docs: DataFrame, *, span: int = SPAN, k: int = GRAM, group_b
 
     docs has doc_id (a whole number) and text; columns of these three names are replaced.
     """
+    if clash := {c: spare(docs.columns, c) for c in docs.columns if c in (_G, _B)}:
+        out = remove_repeated(docs.withColumnsRenamed(clash), span=span, k=k, group_bytes=group_bytes)
+        return out.withColumnsRenamed({new: c for c, new in clash.items()})
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))

@@ -10,7 +10,8 @@ equal then is linked, and every link shows up that way.  So a group of m costs m
 Copies count as one fingerprint throughout.
 
 Cases: null and wordless texts have fingerprint zero, linked like any other; texts of fewer words than a shingle are one
-shingle; repeated rows stay and share a component; a component of null ids alone has a null id.
+shingle; repeated rows stay and share a component; a component of null ids alone has a null id; of equal least ids
+one_of_each() keeps one text, told by its hash; very long texts are read whole; extra columns stay, whatever they are called.
 """
 
 from __future__ import annotations

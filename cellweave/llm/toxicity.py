@@ -256,6 +256,7 @@ def _one_of_copies(labelled: DataFrame) -> DataFrame:
     for band in (0, 1):
         same = F.coalesce(F.get("bands", F.lit(band)), "text_key")
         left = left.groupBy(same.alias("band")).agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("row")).select("row.*")
+    # keys of about SAMPLE_ROWS rows
     return rows.join(F.broadcast(left.select(F.col("text_key").alias("k"))), F.col("text_key") == F.col("k"), "left_semi").select("text", "toxic")
 
 

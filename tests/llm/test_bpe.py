@@ -97,5 +97,18 @@ def test_other_kinds_of_files_are_refused():
 
 
 def test_counts_column_is_replaced(odd_docs):
-    out = bpe.token_counts(odd_docs.withColumn("n_tokens", F.lit("x")), PATH)
+    out = bpe.token_counts(odd_docs.withColumn("n_tokens", F.lit("x")).withColumn("special", F.lit("x")).withColumn("pack", F.lit("y")), PATH)
     assert dict(out.dtypes)["n_tokens"] == "bigint"
+    assert {(r.special, r.pack) for r in out.collect()} == {("x", "y")}
+    short = bpe.token_counts(odd_docs, PATH, keep_text=False)
+    assert short.columns == [c for c in odd_docs.columns if c != "text"] + ["n_tokens"]
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    assert sorted(map(key, short.collect())) == sorted(map(key, out.collect()))
+
+
+def test_common_pre_tokens_and_many_packs(spark, monkeypatch):
+    """Packs and buckets of a few documents, and one word in all of them."""
+    docs = spark.createDataFrame([(i, f"the the end of{i} the{i % 7}") for i in range(300)], "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 200)
+    got = {r.doc_id: r.n_tokens for r in bpe.token_counts(docs, PATH).collect()}
+    assert got == {i: len(x) for i, x in enumerate(library([f"the the end of{i} the{i % 7}" for i in range(300)]))}

@@ -39,8 +39,8 @@ def test_matches_brute_force(request, monkeypatch, name, settings):
 
 
 def test_columns_stay(odd_docs, no_docs):
-    out = passages.remove_repeated(odd_docs.withColumn("kept", odd_docs.text).withColumn("start", odd_docs.doc_id).withColumn("__group", odd_docs.text))
-    assert out.columns == [*odd_docs.columns, "start", "__group", "n_words", "n_removed", "kept"]
+    out = passages.remove_repeated(odd_docs.withColumn("kept", odd_docs.text).withColumn("start", odd_docs.doc_id).withColumn("__group", odd_docs.text).withColumn("__passages_group", odd_docs.text))
+    assert out.columns == [*odd_docs.columns, "start", "__group", "__passages_group", "n_words", "n_removed", "kept"]
     assert out.count() == odd_docs.count()
     assert passages.remove_repeated(no_docs).collect() == []
 
