@@ -34,6 +34,6 @@ def write_clusters(cells: DataFrame, params: ClusterParams, sink: Callable[[Data
 
     def on_trigger(batch: DataFrame, number: int) -> None:
         clusters = merge(c.greatest(batch, params.size, by), params, by)
-        sink(_finished(clusters, params.level, by, {}, None), number)
+        sink(_finished(clusters, params.level, by, {}), number)
 
     return cells.writeStream.outputMode(mode).foreachBatch(on_trigger)
