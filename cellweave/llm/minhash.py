@@ -36,6 +36,8 @@ LEAST = 0.8
 BANDS, ROWS = 20, 4
 #: Texts of a band's group that each is compared with, besides the group's hub.
 NEIGHBOURS = 4
+#: Keys up to this many (16 bytes each) are sent to all tasks, so that the texts they are looked up for stay where they are.
+FEW_KEYS = 1_000_000
 
 _WORDS = byte_class(lower=True, alnum=False)
 _SALTS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1)
@@ -114,6 +116,11 @@ def _hubs(banded: DataFrame) -> DataFrame:
     return pairs
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are counted to be few; more are joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys
+
+
 def links(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(u, v): text keys, u < v, of texts that are near each other."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -125,7 +132,7 @@ def links(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST) -> D
     hubs = _hubs(banded)
     pairs = keep(dealt.mapInArrow(_side_by_side, "u bigint, v bigint").union(hubs).distinct(), "candidates")
     wanted = pairs.select(F.col("u").alias("text_key")).union(pairs.select("v")).distinct()
-    texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+    texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(_few(wanted), "text_key", "left_semi").dropDuplicates(["text_key"])
     of = keep(sets(texts, shingle=shingle), "shingles of candidates")
     a, b = (of.select(F.col("text_key").alias(k), F.col("shingles").alias(f"s_{k}")) for k in ("u", "v"))
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("s_u", "s_v")))
@@ -145,4 +152,4 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     gone = rows.join(chosen, "root").where(~(F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_key") == F.col("row.text_key"))))
     gone = keep(gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)), "near copies that go")
     forget(near, found, rows)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")
+    return docs.join(_few(gone), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")

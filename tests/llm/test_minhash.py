@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline as p
 from cellweave.llm import minhash as m
 
@@ -41,7 +43,10 @@ def test_stage_leaves_no_near_copies(spark, docs):
     assert not [1 for a, b in combinations(left, 2) if near(a, b)]
 
 
-def test_odd_rows(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("few", [m.FEW_KEYS, 0])
+def test_odd_rows(spark, monkeypatch, odd_docs, no_docs, few):
+    """With few keys to look up, and with more than can be sent to all tasks."""
+    monkeypatch.setattr(m, "FEW_KEYS", few)
     before = rows(odd_docs)
     left = rows(m.one_of_each(odd_docs))
     sets = {t: shingles(t) for _, t in left}.values()
