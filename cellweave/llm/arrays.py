@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import resource
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -16,8 +17,8 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 
-#: Files that a worker keeps open, and bytes of local copies that it keeps.
-OPEN_FILES, COPIED_BYTES = 256, 1 << 30
+#: Files that a worker keeps open (each has a descriptor, so half of those allowed at most), and bytes of local copies.
+OPEN_FILES, COPIED_BYTES = min(4096, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 2), 1 << 30
 
 _open: OrderedDict[str, tuple[dict[str, np.ndarray] | None, int]] = OrderedDict()
 

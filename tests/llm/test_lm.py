@@ -49,7 +49,7 @@ def brute(train, texts):
 
 @pytest.mark.parametrize("name,buckets", [("odd_docs", None), ("docs", None), ("docs", 300)])
 def test_matches_brute_force(request, monkeypatch, name, buckets):
-    """With 300 buckets there are more files than a worker keeps open, and more common words."""
+    """With 300 buckets there are about 900 files, and more common words."""
     monkeypatch.setattr(lm, "COMMON", 1000 if buckets is None else 20)
     docs = request.getfixturevalue(name)
     if name == "docs":
@@ -57,7 +57,7 @@ def test_matches_brute_force(request, monkeypatch, name, buckets):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     train = [t for i, t in rows if i is None or crc(i, 7) != 2]
     model = lm.train(docs.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"), buckets=buckets)
-    assert buckets is None or 3 * buckets > arrays.OPEN_FILES and len(model.common) > 10 and model.parts.max() > 1
+    assert buckets is None or len(model.common) > 10 and model.parts.max() > 1
     got = {}
     for r in lm.score(docs, model).collect():
         got.setdefault(r.doc_id, []).append(tuple(r)[1:])
