@@ -71,3 +71,32 @@ def test_copies_edited_apart_from_each_other(spark):
     rows = [(i + 1, t) for i, t in enumerate(rng.sample(texts, len(texts)))] + [(1000 + i, " ".join(rng.sample(words, 200))) for i in range(50)]
     left = {r.doc_id for r in m.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
     assert left == {1} | set(range(1000, 1050))
+
+
+@pytest.mark.parametrize("part", [m.PART, 10_000])
+def test_pairs_of_a_large_group_away_from_its_hub(spark, monkeypatch, part):
+    """Two bands of one hash make groups of many texts that are alike by half, and in them pairs that are near each other alone: none is missed, in groups of one part and of several."""
+    for name, value in (("PART", part), ("BANDS", 2), ("ROWS", 1)):
+        monkeypatch.setattr(m, name, value)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    source = [rng.choice(words) for _ in range(250)]
+
+    def edited(line, n):
+        own = list(line)
+        for i in rng.sample(range(250), n):
+            own[i] = rng.choice(words)
+        return own
+
+    lines = [edited(source, 11) for _ in range(150)]
+    texts = [" ".join(x) for line in lines for x in (line, edited(line, 3))]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    bands = {r.text: r.bands for r in m.sketches(docs).join(docs.withColumn("text_key", m.F.xxhash64("text")), "text_key").collect()}
+    of = {t: shingles(t) for t in texts}
+    root = roots(set(of), lambda a, b: any(x == y for x, y in zip(bands[a], bands[b])) and near(of[a], of[b]))
+    want: dict = {}
+    for i, t in rows:
+        want.setdefault(root[t], i)
+    left = {r.doc_id for r in m.one_of_each(docs).collect()}
+    assert left == set(want.values()) and 150 <= len(left) < 200
