@@ -54,7 +54,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         with np.errstate(over="ignore"):
             up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, _BASE_INV))
-        if n > 4 * BLOCK_BYTES:  # of a very long text: not kept
+        if n > BLOCK_BYTES:  # of a very long text: not kept
             return up, down
         _powers = (up, down)
     return _powers
@@ -198,6 +198,12 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
+def released(made):
+    """made, once what making it has left behind is given back."""
+    release()
+    return made
+
+
 def cut(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of the batch, each of at most `most` bytes of text or of a single longer text."""
     data, offsets = _raw(batch.column(batch.schema.get_field_index(text)))

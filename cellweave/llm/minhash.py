@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, byte_class, cut, grams, mix, within, words
+from .blocks import Block, byte_class, cut, grams, mix, released, within, words
 from .components import components
 from .shared import forget, keep, spare
 
@@ -168,7 +168,7 @@ def _rest(members: DataFrame, near: DataFrame, of: DataFrame, least: float) -> D
     work = work.select("bucket", F.xxhash64("bucket", "a", "b").alias("work"), "a", "b")
     sides = work.select("bucket", "work", F.lit(0).alias("side"), "a.*").union(work.where("a < b").select("bucket", "work", F.lit(1).alias("side"), "b.*"))
     asked = texts.join(sides, [*cell, "part"]).select("work", "side", "text_key", "root").join(of, "text_key")
-    links = keep(asked.groupBy("work").applyInArrow(lambda t: across(t, least), "u bigint, v bigint").distinct(), "links of the rest")
+    links = keep(asked.groupBy("work").applyInArrow(lambda t: released(across(t, least)), "u bigint, v bigint").distinct(), "links of the rest")
     forget(found, members, groups, cells)
     return links
 

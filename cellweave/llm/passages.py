@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import byte_class, grams, mix, window_minima, within, words
+from .blocks import BLOCK_BYTES, byte_class, grams, mix, released, window_minima, within, words
 from .shared import spare
 
 SPAN = 13
@@ -58,6 +58,19 @@ _NONE = np.iinfo(np.int64).max
 _G, _B = "__passages_group", "__passages_bucket"
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where the words of each text begin, hashes of the words, their bytes): told a block at a time, which needs many times its own bytes."""
+    first, hashed, size, row, n = [np.zeros(1, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0, 0
+    while row < len(offsets) - 1:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
+        w = words(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], _TABLE)
+        first.append(w.first[1:] + n)
+        hashed.append(w.hash)
+        size.append(w.end - w.start)
+        row, n = stop, n + len(w)
+    return np.concatenate(first), np.concatenate(hashed), np.concatenate(size)
+
+
 class _Group:
     """The documents of a group in a fixed order, with their words, windows and anchors."""
 
@@ -72,13 +85,12 @@ class _Group:
         sizes = np.array([len(texts[i]) for i in order], np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
         data = np.frombuffer(self.spelled + b"\n", np.uint8) if order else np.empty(0, np.uint8)
-        w = words(data, offsets if order else np.zeros(1, np.int64), _TABLE)
-        self.first, self.hash, self.size = w.first, w.hash, w.end - w.start
-        self.start = np.flatnonzero(within(w.first, span, len(w)))
-        g = grams(w.hash, k)
+        self.first, self.hash, self.size = _words(data, offsets)
+        self.start = np.flatnonzero(within(self.first, span, len(self.hash)))
+        g = grams(self.hash, k)
         self.at = window_minima(g, span - k + 1)[self.start] if len(self.start) else self.start
         self.anchor = g[self.at] if len(self.start) else np.empty(0, np.uint64)
-        self.doc = np.searchsorted(w.first, self.start, "right") - 1
+        self.doc = np.searchsorted(self.first, self.start, "right") - 1
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -305,10 +317,10 @@ def remove_repeated(docs: DataFrame, *, span: int = SPAN, k: int = GRAM, group_b
     common = COMMON_GROUPS
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     dealt = docs.select(*[F.col(f"`{c}`") for c in columns], F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias(_G)).repartition(n, _G)
-    anchors = dealt.groupBy(_G).applyInArrow(lambda t: _anchors(t, span, k, buckets), f"{_B} int, {_G} bigint, anchors binary, many binary")
-    recurring = anchors.groupBy(_B).applyInArrow(lambda t: _recurring(t, common), f"{_G} bigint, anchors binary, wide binary")
-    phrases = dealt.groupBy(_G).cogroup(recurring.groupBy(_G)).applyInArrow(lambda t, a: _phrases(t, a, span, k, buckets), f"{_B} int, {_G} bigint, key binary, phrases binary, windows binary, first binary, many binary, times binary, docs binary, starts binary")
-    located = phrases.groupBy(_B).applyInArrow(lambda t: _located(t, span), f"{_G} bigint, times binary, docs binary, starts binary, windows binary, owners binary")
+    anchors = dealt.groupBy(_G).applyInArrow(lambda t: released(_anchors(t, span, k, buckets)), f"{_B} int, {_G} bigint, anchors binary, many binary")
+    recurring = anchors.groupBy(_B).applyInArrow(lambda t: released(_recurring(t, common)), f"{_G} bigint, anchors binary, wide binary")
+    phrases = dealt.groupBy(_G).cogroup(recurring.groupBy(_G)).applyInArrow(lambda t, a: released(_phrases(t, a, span, k, buckets)), f"{_B} int, {_G} bigint, key binary, phrases binary, windows binary, first binary, many binary, times binary, docs binary, starts binary")
+    located = phrases.groupBy(_B).applyInArrow(lambda t: released(_located(t, span)), f"{_G} bigint, times binary, docs binary, starts binary, windows binary, owners binary")
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def finish(table: pa.Table, answer: pa.Table) -> pa.Table:
@@ -321,4 +333,4 @@ def remove_repeated(docs: DataFrame, *, span: int = SPAN, k: int = GRAM, group_b
         rows = table.select(columns).take(pa.array(group.order, pa.int64()))
         return pa.table([*rows.columns, pa.array(np.diff(group.first)), pa.array(out[group.first[1:]] - out[group.first[:-1]]), pa.array(kept, pa.string())], names=schema.names)
 
-    return dealt.groupBy(_G).cogroup(located.groupBy(_G)).applyInArrow(finish, schema)
+    return dealt.groupBy(_G).cogroup(located.groupBy(_G)).applyInArrow(lambda t, a: released(finish(t, a)), schema)

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from cellweave.llm import passages
@@ -83,3 +84,18 @@ def test_a_window_in_all_groups(spark):
 def test_automaton_finds_overlapping_windows():
     phrases = [b"a b c d", b"b c d e", b"x y z", b"b c d"]
     assert passages.locate(phrases, [5, 3, 1, 9], [False] * 4, 3) == [[passages._NONE, 3], [3, passages._NONE], [passages._NONE], [3]]
+
+
+def test_words_of_a_group_are_told_a_block_at_a_time(monkeypatch):
+    """A group needs no tables many times its own bytes, and the words are the same however it is cut."""
+    texts = [b"", b"a bb  ccc", b" ", b"x" * 50, b"one two three four five", b"", b"end"]
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    seen, whole, plain = [], passages._words(data, offsets), passages.words
+    monkeypatch.setattr(passages, "BLOCK_BYTES", 12)
+    monkeypatch.setattr(passages, "words", lambda d, *a: seen.append(len(d)) or plain(d, *a))
+    cut = passages._words(data, offsets)
+    assert len(seen) > 3 and max(seen) == 51 and all((a == b).all() for a, b in zip(whole, cut))
+    assert whole[0].tolist() == [0, 0, 3, 3, 4, 9, 9, 10] and whole[2].tolist() == [1, 2, 3, 50, 3, 3, 5, 4, 4, 3]
+    none = passages._words(data[:0], offsets[:1])
+    assert [len(x) for x in none] == [1, 0, 0]
