@@ -417,6 +417,32 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", text: st
     return source.mapInArrow(run, schema)
 
 
+def bpe_encode_decode(df: DataFrame, tokenizer_path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """df with `ids` and `decoded` (without keep_text, and without the text): bpe_encode, then bpe_decode, in one pass.
+
+    Rows go to a worker and back once, and a task holds one worker, not two.  Columns of these names are replaced.
+    """
+    whole = load(tokenizer_path).whole_tokens()
+    keep = [c for c in df.columns if c not in (ids, decoded)]
+    shown = [c for c in keep if keep_text or c != text]
+    source = df.select(*[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*(source.schema[c] for c in shown), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(tokenizer_path, whole)
+        for batch in batches:
+            for block in cut(batch, text, BLOCK):
+                found, rows = tokenizer.encode_all([t.decode() for t in block.texts()]), block.batch.select(shown)
+                for a in range(0, len(found), 256):
+                    part = found.slice(a, 256)
+                    yield pa.RecordBatch.from_arrays([*rows.slice(a, 256).columns, part, tokenizer.decode_all(part)], names=[*shown, ids, decoded])
+        del tokenizer
+        _loaded.pop(tokenizer_path, None)
+        release()
+
+    return source.mapInArrow(run, schema)
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers from 0 on, each in as few bytes a number as its greatest needs, compressed."""
     parts = [np.array([len(arrays), *map(len, arrays)], np.uint64).tobytes()]

@@ -27,8 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    both = bpe.bpe_decode(ids, path)
+    both = bpe.bpe_encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and whether they decode to the text again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text"), path), path)
+    both = bpe.bpe_encode_decode(docs.select("doc_id", "text"), path)
     again = F.col("decoded") == F.coalesce("text", F.lit(""))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", again.alias("round_trip"))
 

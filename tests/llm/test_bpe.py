@@ -112,3 +112,15 @@ def test_common_pre_tokens_and_many_packs(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BUCKET_BYTES", 200)
     got = {r.doc_id: r.n_tokens for r in bpe.token_counts(docs, PATH).collect()}
     assert got == {i: len(x) for i, x in enumerate(library([f"the the end of{i} the{i % 7}" for i in range(300)]))}
+
+
+def test_encoding_and_decoding_in_one_pass(odd_docs, no_docs):
+    """One worker a task: the plan has a single step of Python, and the rows are those of the two operators."""
+    both = bpe.bpe_encode_decode(odd_docs, PATH)
+    two = bpe.bpe_decode(bpe.bpe_encode(odd_docs, PATH), PATH)
+    assert both.schema == two.schema
+    key = lambda r: str(tuple(r))
+    assert sorted(both.collect(), key=key) == sorted(two.collect(), key=key)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    short = bpe.bpe_encode_decode(no_docs, PATH, keep_text=False)
+    assert short.columns == [c for c in both.columns if c != "text"] and short.collect() == []
