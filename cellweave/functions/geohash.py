@@ -77,6 +77,19 @@ def with_cell(df: DataFrame, lat_steps: str, lon_steps: str, level: int, name: s
     return df.withColumn(name, F.shiftleft(F.shiftrightunsigned(bits, 64 - 5 * level), 4).bitwiseOR(F.lit(level).cast("bigint"))).drop(x, y)
 
 
+def same_cell(lat1: Column, lon1: Column, lat2: Column, lon2: Column, level: int) -> Column:
+    """Whether cell() of two stored points is the same, told from the bits that it keeps, after the first of its steps."""
+    n = 5 * level
+    shift, mask = _SPREAD[0]
+
+    def kept(steps: Column, bits: int) -> Column:
+        first = (1 << 32) - (1 << (32 - bits))
+        x = steps + F.lit(_HALF)
+        return x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit((first | first << shift) & mask).cast("bigint"))
+
+    return (kept(lat1, n // 2) == kept(lat2, n // 2)) & (kept(lon1, (n + 1) // 2) == kept(lon2, (n + 1) // 2))
+
+
 def geohash(key: Column, level: int) -> Column:
     """The key as text."""
     if level == 0:

@@ -15,33 +15,54 @@ from ..sources import points as p
 METRICS = ("sum", "min", "max", "count", "avg")
 
 
-def stored_values(points: Column, level: int) -> Column:
-    """The points of a row as they are stored and read: (cell, lat, lon) in order of latitude and (unsigned) longitude, those whose cell is that of the one before left out."""
-    values = F.array_sort(F.transform(points, lambda x: F.struct(g.quantise_lat(x["lat"]).alias("lat"), g.quantise_lon(x["lon"]).bitwiseAND(F.lit((1 << 32) - 1)).alias("lon"))))
-    signed = lambda lon: F.shiftright(F.shiftleft(lon, 32), 32)
-    celled = F.transform(values, lambda v: F.struct(g.cell(v["lat"], signed(v["lon"]), level).alias("cell"), v["lat"].alias("lat"), signed(v["lon"]).alias("lon")))
-    return celled
+#: Points as they are stored and put in order: steps of latitude, and of longitude without a sign.
+_STORED = "struct<lat:bigint,lon:bigint>"
 
 
-def without_runs(values: Column) -> Column:
-    """Of values in a row with equal cells the first."""
-    return F.filter(values, lambda v, i: (i == 0) | (v["cell"] != F.get(values, i - 1)["cell"]))
+def _stored(point: Column) -> Column:
+    return F.struct(g.quantise_lat(point["lat"]).alias("lat"), g.quantise_lon(point["lon"]).bitwiseAND(F.lit((1 << 32) - 1)).alias("lon"))
+
+
+def _celled(df: DataFrame, stored: str, level: int) -> DataFrame:
+    """df with __lat, __lon and __cell of a stored point."""
+    lat, lon = _signed(stored)
+    return g.with_cell(df.withColumns({"__lat": lat, "__lon": lon}), "__lat", "__lon", level, "__cell")
+
+
+def _signed(stored: str) -> tuple[Column, Column]:
+    return F.col(f"{stored}.lat"), F.shiftright(F.shiftleft(F.col(f"{stored}.lon"), 32), 32)
 
 
 def located(df: DataFrame, field: str, level: int, missing: Any = None) -> DataFrame | None:
-    """df with cell, __lat, __lon: a row for each counted point.  None where df has no such field and nothing stands in for it."""
-    points = p.points_column(df, field)
+    """df with __cell, __lat, __lon: a row for each counted point.  None where df has no such field and nothing stands in for it.
+
+    Points of a row are taken in order of latitude and (unsigned) longitude, those whose cell is that of the one before left out.
+    """
+    points, many = p.points_column(df, field)
     if missing is not None:
-        substitute = F.array(p.literal(missing))
-        points = substitute if points is None else F.when(F.coalesce(F.size(points), F.lit(0)) > 0, points).otherwise(substitute)
+        substitute = F.array(p.literal(missing)) if many else p.literal(missing)
+        points = substitute if points is None else F.when(F.size(points) > 0 if many else points.isNotNull(), points).otherwise(substitute)
     if points is None:
         return None
-    many = F.size("__points") > 1
-    df = df.withColumn("__points", points).where(F.col("__points").isNotNull())
-    df = df.withColumn("__values", stored_values(F.col("__points"), level))
-    df = df.withColumn("__values", F.when(many, without_runs(F.col("__values"))).otherwise(F.col("__values")))
-    df = df.withColumn("__value", F.explode("__values"))
-    return df.withColumn("__cell", F.col("__value.cell")).withColumn("__lat", F.col("__value.lat")).withColumn("__lon", F.col("__value.lon")).drop("__points", "__values", "__value")
+    df = df.withColumn("__point", points)
+    if many:
+        return without_runs(df, level).drop("__point")
+    df = df.where(F.col("__point.lat").isNotNull() & F.col("__point.lon").isNotNull())
+    return _celled(df.withColumn("__point", _stored(F.col("__point"))), "__point", level).drop("__point")
+
+
+def without_runs(df: DataFrame, level: int) -> DataFrame:
+    """A row for each point of the array __point, but those in the cell of the one before.
+
+    Each point is put beside the one before it by its place in a second array, and compared with it as a row.  A lambda that
+    looks back in the array would have the array made anew for each point, when a filter on it is pushed below the projection
+    that makes it; explode() infers such a filter, explode_outer() none.
+    """
+    df = df.withColumn("__point", F.sort_array(F.transform("__point", _stored)))
+    before = F.concat(F.array(F.lit(None).cast(_STORED)), F.slice("__point", 1, F.greatest(F.size("__point") - 1, F.lit(0))))
+    df = df.withColumn("__point", F.explode_outer(F.arrays_zip(F.col("__point").alias("here"), before.alias("before"))))
+    again = F.col("__point.before.lat").isNotNull() & g.same_cell(*_signed("__point.here"), *_signed("__point.before"), level)
+    return _celled(df.where(F.col("__point.here.lat").isNotNull() & ~again), "__point.here", level)
 
 
 def located_columns(df: DataFrame, lat: str, lon: str, level: int) -> DataFrame:

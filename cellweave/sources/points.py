@@ -68,11 +68,11 @@ def literal(value: Any) -> Column:
     raise ValueError(f"no point: {value!r}")
 
 
-def points_column(df: DataFrame, field: str) -> Column | None:
-    """The field as an array of points, null where a row has none; None where df has no such field."""
+def points_column(df: DataFrame, field: str) -> tuple[Column | None, bool]:
+    """The field as a point, null where a row has none, or as an array of points, and which of them; None where df has no such field."""
     head = field.split(".")[0]
     if head not in df.columns:
-        return None
+        return None, False
     column = F.col(field) if "." in field else F.col(f"`{field}`")
     kind = df.select(column.alias("x")).schema["x"].dataType
     many = isinstance(kind, T.ArrayType)
@@ -84,10 +84,10 @@ def points_column(df: DataFrame, field: str) -> Column | None:
     elif isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.NumericType):
         one = from_array
     elif many and isinstance(inner, T.NumericType):  # a single [lon, lat]
-        return F.when(from_array(column).isNotNull(), F.array(from_array(column)))
+        return from_array(column), False
     else:
         raise ValueError(f"{field} holds {kind.simpleString()}, no points")
-    return F.filter(F.transform(column, one), lambda p: p.isNotNull()) if many else F.when(one(column).isNotNull(), F.array(one(column)))
+    return (F.filter(F.transform(column, one), lambda p: p.isNotNull()) if many else one(column)), many
 
 
 def bounding_box(lat: Column, lon: Column, *, top: float, left: float, bottom: float, right: float) -> Column:
