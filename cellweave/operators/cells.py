@@ -24,9 +24,14 @@ def _stored(point: Column) -> Column:
 
 
 def _celled(df: DataFrame, stored: str, level: int) -> DataFrame:
-    """df with __lat, __lon and __cell of a stored point."""
-    lat, lon = _signed(stored)
-    return g.with_cell(df.withColumns({"__lat": lat, "__lon": lon}), "__lat", "__lon", level, "__cell")
+    """df with __lat, __lon and __cell of a stored point, which is known to be one."""
+    return _with_cell(df, *_signed(stored), level)
+
+
+def _with_cell(df: DataFrame, lat: Column, lon: Column, level: int) -> DataFrame:
+    """df with __lat, __lon and __cell of steps that aren't null, in columns that can't be: a join on the cell would else test it in every row, by an expression that has all steps of the key, and all of the point's own, written out many times."""
+    df = df.withColumns({"__lat": F.coalesce(lat, F.lit(0).cast("bigint")), "__lon": F.coalesce(lon, F.lit(0).cast("bigint"))})
+    return g.with_cell(df, "__lat", "__lon", level, "__cell")
 
 
 def _signed(stored: str) -> tuple[Column, Column]:
@@ -41,13 +46,13 @@ def located(df: DataFrame, field: str, level: int, missing: Any = None) -> DataF
     points, many = p.points_column(df, field)
     if missing is not None:
         substitute = F.array(p.literal(missing)) if many else p.literal(missing)
-        points = substitute if points is None else F.when(F.size(points) > 0 if many else points.isNotNull(), points).otherwise(substitute)
+        points = substitute if points is None else F.when(F.size(points) > 0 if many else points["lat"].isNotNull(), points).otherwise(substitute)
     if points is None:
         return None
     df = df.withColumn("__point", points)
     if many:
         return without_runs(df, level).drop("__point")
-    df = df.where(F.col("__point.lat").isNotNull() & F.col("__point.lon").isNotNull())
+    df = df.where(F.col("__point.lat").isNotNull())
     return _celled(df.withColumn("__point", _stored(F.col("__point"))), "__point", level).drop("__point")
 
 
@@ -68,8 +73,7 @@ def without_runs(df: DataFrame, level: int) -> DataFrame:
 def located_columns(df: DataFrame, lat: str, lon: str, level: int) -> DataFrame:
     """located() of two coordinate columns, one point a row: filters on them reach the scan."""
     df = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    y, x = g.quantise_lat(F.col(lat)), g.quantise_lon(F.col(lon))
-    return g.with_cell(df.withColumns({"__lat": y, "__lon": x}), "__lat", "__lon", level, "__cell")
+    return _with_cell(df, g.quantise_lat(F.col(lat)), g.quantise_lon(F.col(lon)), level)
 
 
 def aggregate(points: DataFrame, by: Sequence[str] = (), metrics: Mapping[str, tuple[str, str]] | None = None, weight: str | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def _corner_of_text(text: Column) -> tuple[Column, Column]:
 def literal(value: Any) -> Column:
     """A point given as {"lat", "lon"}, [lon, lat], (as "missing" has it) text, or a column."""
     if isinstance(value, Column):
-        return value
+        return point(value["lat"], value["lon"])
     if isinstance(value, dict):
         return point(F.lit(float(value["lat"])), F.lit(float(value["lon"])))
     if isinstance(value, Sequence) and not isinstance(value, str):
@@ -69,7 +69,7 @@ def literal(value: Any) -> Column:
 
 
 def points_column(df: DataFrame, field: str) -> tuple[Column | None, bool]:
-    """The field as a point, null where a row has none, or as an array of points, and which of them; None where df has no such field."""
+    """The field as a point, whose lat is null where a row has none, or as an array of points, and which of them; None where df has no such field."""
     head = field.split(".")[0]
     if head not in df.columns:
         return None, False
@@ -78,6 +78,8 @@ def points_column(df: DataFrame, field: str) -> tuple[Column | None, bool]:
     many = isinstance(kind, T.ArrayType)
     inner = kind.elementType if many else kind
     if isinstance(inner, T.StructType) and {"lat", "lon"} <= set(inner.names):
+        if not many:  # a struct of plain columns: those who read or test one coordinate don't carry the whole point along
+            return F.struct(F.when(column["lon"].isNotNull(), column["lat"].cast("double")).alias("lat"), column["lon"].cast("double").alias("lon")), False
         one = lambda p: point(p["lat"], p["lon"])
     elif isinstance(inner, T.StringType):
         one = from_text

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import geohash as g
 from cellweave.operators import cells as c
+from cellweave.sources.points import point
 
 
 def optimized(df):
@@ -44,3 +45,22 @@ def test_one_point_a_row_takes_no_array(spark):
     for field in ("p", "t"):
         located = c.located(df, field, 6).select("id", "__cell", "__lat", "__lon")
         assert "Generate" not in optimized(located) and sorted(map(tuple, located.collect())) == want
+
+
+def test_join_on_the_cell_tests_little_in_each_row(spark):
+    """A filter that repeats the point's expressions over and over came to over 8,000 bytes of code, which isn't compiled further."""
+    lat, lon = ((F.col("id") * n % 1000).cast("double") / 1e1 - 5e1 for n in (40503, 2654435))
+    df = spark.range(9).select("id", lat.alias("lat"), lon.alias("lon")).withColumn("p", F.struct("lat", "lon")).withColumn("n", point(F.col("lat"), F.col("lon")))
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    clusters = spark.createDataFrame([(0, 1)], "member long, rank long")
+    for located in (c.located(df, "p", 3), c.located(df, "n", 3), c.located_columns(df, "lat", "lon", 3)):
+        assert not located.schema["__cell"].nullable
+        plan = optimized(located.join(clusters, F.col("__cell") == F.col("member")).groupBy("rank").agg(F.count_distinct("id")))
+        assert sum(line.count("isnotnull(") for line in plan.splitlines() if "Filter" in line) <= 12
+
+
+def test_half_points_and_other_numbers(spark):
+    df = spark.createDataFrame([(1, (None, 2)), (2, (3, None)), (3, None), (4, (3, 2))], "id long, p struct<lat:int,lon:int>")
+    assert [r.id for r in c.located(df, "p", 4).collect()] == [4]
+    assert sorted(r.id for r in c.located(df, "p", 4, missing=F.struct(F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon"))).collect()) == [1, 2, 3, 4]
+    assert [r.id for r in c.located(df, "p", 4, missing=F.struct(F.lit(None).cast("double").alias("lat"), F.lit(1.0).alias("lon"))).collect()] == [4]
